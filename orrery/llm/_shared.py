@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled together by numpy code; bounds a worker's memory.
@@ -46,7 +47,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK_BYT
         if not batch.num_rows:
             continue
         text = batch.column(batch.schema.get_field_index(column))
-        sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(text).to_numpy(zero_copy_only=False), dtype=float))
+        sizes = np.nan_to_num(np.asarray(pc.binary_length(text).to_numpy(zero_copy_only=False), dtype=float))
         start, held = 0, 0.0
         for i, size in enumerate(sizes):
             if i > start and held + size > most:
