@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import shared_dir, table
 from .packing import best_fit_packing, tokenized_pieces
 from .quality_rules import quality_rules
 from .token_counts import token_counts
+from .zip_warc import read_packages, write_packages
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,6 +28,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = read_packages(spark, write_packages(table(spark, sf_dir, "pages"), shared_dir(spark)))
+    return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(tokenized_pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2048), 2048)
 
@@ -34,6 +40,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
+    "op5_zip_warc": op5_zip_warc,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
