@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import shared_dir, table
+from .mixing import mixed, word_count
+from .mixing import oracle_sql as mixing_sql
 from .packing import best_fit_packing, tokenized_pieces
 from .quality_rules import quality_rules
 from .token_counts import token_counts
@@ -33,6 +35,10 @@ def op5_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"), word_count(F.col("text")))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(tokenized_pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2048), 2048)
 
@@ -41,7 +47,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op5_zip_warc": op5_zip_warc,
+    "op7_source_mixing": op7_source_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_source_mixing": mixing_sql(),
+}
