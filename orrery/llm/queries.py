@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import shared_dir, table
+from .minhash import near_duplicates
 from .mixing import mixed, word_count
 from .mixing import oracle_sql as mixing_sql
 from .packing import best_fit_packing, tokenized_pieces
@@ -35,6 +36,10 @@ def op5_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"), word_count(F.col("text")))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op5_zip_warc": op5_zip_warc,
+    "op6_bagminhash": op6_bagminhash,
     "op7_source_mixing": op7_source_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
