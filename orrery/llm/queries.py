@@ -13,6 +13,7 @@ from .mixing import mixed, word_count
 from .mixing import oracle_sql as mixing_sql
 from .packing import best_fit_packing, tokenized_pieces
 from .quality_rules import quality_rules
+from .substring_dedup import digest_rows, without_repeats
 from .token_counts import token_counts
 from .zip_warc import read_packages, write_packages
 
@@ -48,6 +49,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(tokenized_pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2048), 2048)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_rows(without_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bagminhash": op6_bagminhash,
     "op7_source_mixing": op7_source_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
