@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import shared_dir, table
+from .fuzzy_lines import without_repeated_lines
 from .minhash import near_duplicates
 from .mixing import mixed, word_count
 from .mixing import oracle_sql as mixing_sql
@@ -32,6 +33,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, which lines went, who keeps them, and a digest of what is left."""
+    out = without_repeated_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", "kept_in", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
 def op5_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = read_packages(spark, write_packages(table(spark, sf_dir, "pages"), shared_dir(spark)))
     return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -56,6 +63,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
+    "op4_fuzzy_lines": op4_fuzzy_lines,
     "op5_zip_warc": op5_zip_warc,
     "op6_bagminhash": op6_bagminhash,
     "op7_source_mixing": op7_source_mixing,
