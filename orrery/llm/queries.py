@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ._shared import shared_dir, table
 from .fuzzy_lines import without_repeated_lines
+from .metric_join import near_vectors
 from .minhash import near_duplicates
 from .mixing import mixed, word_count
 from .mixing import oracle_sql as mixing_sql
@@ -25,6 +26,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
@@ -61,6 +66,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_metric_join": op1_metric_join,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_fuzzy_lines": op4_fuzzy_lines,
