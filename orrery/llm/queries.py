@@ -17,6 +17,7 @@ from .packing import best_fit_packing, tokenized_pieces
 from .quality_rules import quality_rules
 from .substring_dedup import digest_rows, without_repeats
 from .token_counts import token_counts
+from .toxicity import toxicity
 from .zip_warc import read_packages, write_packages
 
 
@@ -57,6 +58,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"), word_count(F.col("text")))
 
 
+def op8_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(tokenized_pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2048), 2048)
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_zip_warc": op5_zip_warc,
     "op6_bagminhash": op6_bagminhash,
     "op7_source_mixing": op7_source_mixing,
+    "op8_bigru_toxicity": op8_bigru_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
