@@ -19,7 +19,7 @@ sources is salted.  Nothing is broadcast by hand and no group is collected.
 Defined results: a null text has no tokens; a null source is the source '';
 a source without tokens gets weight 0 and no rows; rows that repeat a document
 are documents of their own; an empty table gives no rows; extra columns are
-ignored unless named in ``keep`` (whose names may be any but the operator's).
+ignored; ``keep_row`` carries them along, whatever their names.
 """
 
 from __future__ import annotations
@@ -81,10 +81,11 @@ def mixed(
     seed: str = "mix",
     id_col: str = "doc_id",
     source_col: str = "source",
-    keep: list[str] = (),
+    keep_row: bool = False,
     prefix: int = 3,
 ) -> DataFrame:
-    """The mixed stream, a row per use of a document: doc_id, source, epoch, block, position, n_tokens, weight (and ``keep``).
+    """The mixed stream, a row per use of a document: doc_id, source, epoch, block, position, n_tokens, weight
+    (and, with ``keep_row``, the whole row as a struct ``row``).
 
     ``budget_ratio`` is the token budget as a multiple of the corpus; order the
     rows by block and position to read the stream.
@@ -93,7 +94,7 @@ def mixed(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
         tokens.alias("n_tokens"),
-        F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(None).cast("string")]).alias("_keep"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns] if keep_row else [F.lit(True)]).alias("row"),
     )
     sums = checkpointed(rows.groupBy("source").agg(F.sum("n_tokens").alias("t")).where("t > 0"))
     total = sums.agg(F.sum("t")).first()[0] or 0
@@ -119,7 +120,7 @@ def mixed(
     )
     group = ["source", "epoch", "sub"]
     before = (
-        used.drop("_keep")
+        used.drop("row")
         .groupBy(*group)
         .agg(F.sum("n_tokens").alias("_sum"))
         .withColumn("_before", F.coalesce(F.sum("_sum").over(W.partitionBy("source", "epoch").orderBy("sub").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
@@ -136,7 +137,7 @@ def mixed(
     )
     last = W.partitionBy("block").orderBy("_h", "doc_id", "source", "n_tokens")
     out = placed.withColumn("position", F.row_number().over(last).cast("long"))
-    return out.select("doc_id", "source", "epoch", "block", "position", "n_tokens", F.round("weight", 9).alias("weight"), *[F.col(f"_keep.`{c}`") for c in keep])
+    return out.select("doc_id", "source", "epoch", "block", "position", "n_tokens", F.round("weight", 9).alias("weight"), *["row"] * keep_row)
 
 
 def oracle_sql(entropy_share: float = 0.95, max_repeats: float = 4.0, block_tokens: int = 1 << 20, seed: str = "mix") -> str:
