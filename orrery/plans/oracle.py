@@ -107,7 +107,7 @@ def private(steps: int, budget: float, bits: int, bound: float, seed: str) -> st
     start = even(k, 0.0, bound, 5)
     for t in range(steps):
         out.append(f"v{t} AS MATERIALIZED (SELECT l.src_dc, l.dst, l.dst_dc, rank / out_degree AS value FROM located l JOIN q{t} ON l.src = id JOIN dout ON l.src = dout.src)")
-        out.append(f"w{t} AS MATERIALIZED (SELECT src_dc AS group_id, dst AS id, least(greatest(sum(value), 0.0::DOUBLE), {bound}::DOUBLE) AS x FROM v{t} WHERE src_dc <> dst_dc GROUP BY src_dc, dst)")
+        out.append(f"w{t} AS MATERIALIZED (SELECT src_dc AS group_id, dst AS id, round(least(greatest(sum(value), 0.0::DOUBLE), {bound}::DOUBLE), 9) AS x FROM v{t} WHERE src_dc <> dst_dc GROUP BY src_dc, dst)")
         out.append(lloyd(f"p{t}_", f"w{t}", start, sigma, f"{seed}|{t}", 0.0, bound))
         start = f"SELECT group_id, c, x FROM p{t}_5"
         out.append(

@@ -6,7 +6,8 @@ centers: combine per sending center and receiver, clip, cluster the values of
 each sending center with half of the step's budget (from the centroids of the
 step before), replace each message by the centroid at its noisy index with the
 other half, then gather and apply as usual.  Messages within a center pass as
-they are.
+they are.  Values are rounded to nine decimals before clustering, so that the
+order in which a sum was added can't decide between two equally near centroids.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def private_pagerank(graph: Graph, privacy: PrivacyConfig | None = None, iterati
     for step in range(iterations):
         sent = edges.join(state.select("id", "rank"), F.col("src") == F.col("id")).select("src_dc", "dst", "dst_dc", (F.col("rank") / F.col("out_degree")).alias("value"))
         near = sent.where("src_dc = dst_dc").select("dst", "value")
-        far = combined(sent.where("src_dc <> dst_dc")).withColumn("x", clamped(F.col("value"), 0.0, p.bound))
+        far = combined(sent.where("src_dc <> dst_dc")).withColumn("x", F.round(clamped(F.col("value"), 0.0, p.bound), 9))
         far = checkpointed(far.select(F.col("src_dc").alias("group_id"), "dst", "x"))
         share = p.budget / iterations
         sigma = noise_deviation(0.0, p.bound, share * p.centroid_share)
