@@ -1,8 +1,7 @@
-"""Helpers shared by the operators: tables, checkpoints, Arrow text batches."""
+"""Helpers shared by the operators: tables and Arrow text batches; checkpoints are the library's own."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,6 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..checkpoints import checkpointed, shared_dir
+
+__all__ = ["CHUNK_BYTES", "checkpointed", "chunks", "shared_dir", "strings", "table"]
+
 #: Bytes of text handled together by numpy code; bounds a worker's memory.
 CHUNK_BYTES = 1 << 20
 
@@ -18,29 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; made up only where the session names none."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    at = sc._jsc.sc().getCheckpointDir()
-    if named:
-        if at.isEmpty():
-            sc.setCheckpointDir(named)
-        return named
-    if at.isEmpty():
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by driver and executors")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="orrery-checkpoints-"))
-        at = sc._jsc.sc().getCheckpointDir()
-    return at.get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and cut the lineage there, so that a lost executor loses nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def chunks(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``most`` bytes; a longer value comes alone, whole."""
     for batch in batches:
