@@ -48,10 +48,10 @@ def link(members: DataFrame, sigs: DataFrame, near: Callable[[np.ndarray, np.nda
     ``near(one, many)`` (rows of uint8) says which pairs may pass at all;
     ``verifier`` takes the members (cid) that may be tested at all and returns the
     test: from pairs (a, b) to those that hold.  Pairs aren't
-    expanded: in every round each member of a bucket is tried against a few
-    others outside its component, the first of the bucket first, and what
-    failed is not tried again.  The rounds end when no pair in any bucket could
-    still join two components.  So a group of n near copies costs about n
+    expanded: in the first round each member of a bucket is tried against the first of its
+    bucket; then each against 8, 64, 512, ... others outside its component, and
+    what failed is not tried again.  The rounds end when no pair in any bucket
+    could still join two components.  So a group of n near copies costs about n
     tests, not n^2.
     """
     whole = W.partitionBy("bucket")
@@ -59,13 +59,13 @@ def link(members: DataFrame, sigs: DataFrame, near: Callable[[np.ndarray, np.nda
     shared = checkpointed(shared.select("bucket", "cid", "hub"))
     sigs = checkpointed(sigs.join(shared.select("cid").distinct(), "cid", "left_semi"))
     verify = verifier(shared.select("cid").distinct())
-    links, tested, comps, tries = None, None, None, 1
+    links, tested, comps, tries = None, None, None, 8
     while True:
         if comps is None:
             pairs = near_pairs(shared.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), sigs, near)
         else:
             pairs = open_pairs(shared, sigs, comps, tested, near, tries)
-            tries = min(2 * tries, 64)
+            tries = min(8 * tries, BLOCK)
         pairs = checkpointed(pairs.distinct())
         if pairs.isEmpty() and comps is not None:
             return comps
@@ -117,16 +117,14 @@ def open_pairs(members: DataFrame, sigs: DataFrame, comps: DataFrame, tested: Da
             cid, comp = (np.asarray(column(group, c).to_numpy(zero_copy_only=False)) for c in ("cid", "component"))
             sig, no = matrix(column(group, "sig")), [set(x or ()) for x in column(group, "no").to_pylist()]
             left = np.full(len(cid), tries)
-            joined = comp.copy()  # components as they would be if all proposals passed
             out = []
             for h in range(len(cid)):
-                may = np.flatnonzero((left[h + 1 :] > 0) & (joined[h + 1 :] != joined[h])) + h + 1
+                may = np.flatnonzero((left[h + 1 :] > 0) & (comp[h + 1 :] != comp[h])) + h + 1
                 if len(may):
                     for k in may[near(sig[h : h + 1], sig[may])].tolist():
-                        if joined[k] != joined[h] and cid[h] not in no[k]:
+                        if cid[h] not in no[k]:
                             out.append((cid[h], cid[k]))
                             left[k] -= 1
-                            joined[joined == joined[k]] = joined[h]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
 
