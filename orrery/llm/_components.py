@@ -41,32 +41,35 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def link(members: DataFrame, sigs: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def link(members: DataFrame, sigs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """(node, component) of members that share a bucket and pass the test; no link that would join two components is lost.
 
-    ``members`` has (bucket long, cid long), ``sigs`` (cid long, sig binary);
-    ``near(one, many)`` (rows of uint8) says which pairs may pass at all;
-    ``verifier`` takes the members (cid) that may be tested at all and returns the
-    test: from pairs (a, b) to those that hold.  Pairs aren't
-    expanded: in the first round each member of a bucket is tried against the first of its
-    bucket; then each against 8, 64, 512, ... others outside its component, and
-    what failed is not tried again.  The rounds end when no pair in any bucket
-    could still join two components.  So a group of n near copies costs about n
-    tests, not n^2.
+    ``members`` has (bucket long, cid long) and may have the sig itself, ``sigs``
+    (cid long, sig binary);
+    ``score(one, many)`` (rows of uint8) tells how near pairs seem, and pairs
+    under ``least`` can't pass; ``verifier`` takes the members (cid) that may be
+    tested at all and returns the test: from pairs (a, b) to those that hold.
+
+    Pairs aren't expanded: members without any seemingly near one in a bucket
+    leave it; then each member of a bucket is tried against the
+    first of its bucket; then each against the 2, 8, 32, ... that seem nearest
+    outside its component, and what failed is not tried again.  The rounds end
+    when no pair in any bucket could still join two components.  In a group of
+    near copies nearly all are joined after the second round, so it costs some
+    tests per member, not one per pair.
     """
-    whole = W.partitionBy("bucket")
-    shared = members.withColumns({"hub": F.min("cid").over(whole), "n": F.count(F.lit(1)).over(whole)}).where("n > 1")
-    shared = checkpointed(shared.select("bucket", "cid", "hub"))
+    near = checkpointed(seemingly_near(members, sigs, score, least))
+    shared = checkpointed(near.withColumn("hub", F.min("cid").over(W.partitionBy("bucket"))))
     sigs = checkpointed(sigs.join(shared.select("cid").distinct(), "cid", "left_semi"))
     verify = verifier(shared.select("cid").distinct())
-    links, tested, comps, tries = None, None, None, 8
+    links, tested, comps, tries = None, None, None, 2
     while True:
         if comps is None:
-            pairs = near_pairs(shared.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), sigs, near)
+            pairs = near_pairs(shared.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), sigs, score, least)
         else:
-            pairs = open_pairs(shared, sigs, comps, tested, near, tries)
-            tries = min(8 * tries, BLOCK)
-        pairs = checkpointed(pairs.distinct())
+            pairs = open_pairs(shared, sigs, comps, tested, score, least, tries)
+            tries = min(4 * tries, BLOCK)
+        pairs = checkpointed(pairs)
         if pairs.isEmpty() and comps is not None:
             return comps
         good = checkpointed(verify(pairs).select("a", "b"))
@@ -86,50 +89,112 @@ def matrix(sigs: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
 
 
-def near_pairs(pairs: DataFrame, sigs: DataFrame, near: Callable) -> DataFrame:
+def seemingly_near(members: DataFrame, sigs: DataFrame, score: Callable, least: float) -> DataFrame:
+    """(bucket, cid) of the members that have another one in their bucket that may pass; compared in blocks, marked and not paired."""
+    shared = members.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("bucket"))).where("n > 1")
+    if "sig" not in members.columns:
+        shared = shared.join(sigs, "cid")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = (
+        shared.withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "sig")
+        .repartition("bucket", "i", "j")
+        .sortWithinPartitions("bucket", "i", "j")
+    )
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = (np.stack([column(batch, c).to_numpy().astype(np.int64) for c in ("bucket", "i", "j")], axis=1), column(batch, "cid").to_numpy(), matrix(column(batch, "sig")))
+            held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
+            change = np.flatnonzero((held[0][1:] != held[0][:-1]).any(axis=1))
+            if len(change):  # all but the last group are whole
+                cut = int(change[-1]) + 1
+                yield marked(*(x[:cut] for x in held))
+                held = tuple(x[cut:] for x in held)
+        if held is not None:
+            yield marked(*held)
+
+    def marked(keys: np.ndarray, cid: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        hit = np.zeros(len(cid), bool)
+        group = np.append(0, np.cumsum((keys[1:] != keys[:-1]).any(axis=1)))
+        at, shift = np.arange(len(cid)), 0
+        while len(at):
+            shift += 1
+            at = at[at + shift < len(cid)]
+            at = at[group[at + shift] == group[at]]
+            for part in np.array_split(at, len(at) // 50_000 + 1):
+                near = part[score(sig[part], sig[part + shift]) >= least]
+                hit[near] = hit[near + shift] = True
+        return pa.RecordBatch.from_arrays([pa.array(keys[hit, 0]), pa.array(cid[hit])], names=["bucket", "cid"])
+
+    return dealt.mapInArrow(mark, "bucket long, cid long").distinct()
+
+
+def near_pairs(pairs: DataFrame, sigs: DataFrame, score: Callable, least: float) -> DataFrame:
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ok = near(matrix(column(batch, "asig")), matrix(column(batch, "bsig")))
+                ok = score(matrix(column(batch, "asig")), matrix(column(batch, "bsig"))) >= least
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     both = pairs.join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("bsig")), "b").join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("asig")), "a")
     return both.select("a", "b", "asig", "bsig").mapInArrow(keep, "a long, b long")
 
 
-def open_pairs(members: DataFrame, sigs: DataFrame, comps: DataFrame, tested: DataFrame, near: Callable, tries: int) -> DataFrame:
-    """Pairs in one bucket, of different components, that may pass and haven't failed; up to ``tries`` for a member in a block pair."""
-    now = members.join(comps.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    sizes = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+def open_pairs(members: DataFrame, sigs: DataFrame, comps: DataFrame, tested: DataFrame, score: Callable, least: float, tries: int) -> DataFrame:
+    """Pairs in one bucket, of different components, that may pass and haven't failed.
+
+    A pair belongs to its member in the smaller component, which has the
+    ``tries`` of its pairs tried that seem nearest.
+    """
+    sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    named = comps.join(sizes, "component").select(F.col("node").alias("cid"), "component", "size")
+    now = members.join(named, "cid", "left").withColumns({"component": F.coalesce("component", "cid"), "size": F.coalesce("size", F.lit(1))})
+    mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
     failed = tested.groupBy(F.col("b").alias("cid")).agg(F.collect_set("a").alias("no"))
     rows = (
-        now.join(sizes.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
+        now.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
         .join(sigs, "cid")
         .join(failed, "cid", "left")
         .withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-        .select("bucket", "i", "j", "cid", "component", "sig", "no")
+        .select("bucket", "i", "j", "cid", "component", "size", "sig", "no")
     )
 
     def propose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ("bucket", "i", "j")):
-            cid, comp = (np.asarray(column(group, c).to_numpy(zero_copy_only=False)) for c in ("cid", "component"))
-            sig, no = matrix(column(group, "sig")), [set(x or ()) for x in column(group, "no").to_pylist()]
-            left = np.full(len(cid), tries)
+            cid, comp, size = (np.asarray(column(group, c).to_numpy(zero_copy_only=False)) for c in ("cid", "component", "size"))
+            sig, no = matrix(column(group, "sig")), column(group, "no").to_pylist()
+            done = [set(x or ()) for x in no]
+            for k, x in enumerate(no):  # a failed pair is written at its larger member; known at both from here on
+                for h in np.flatnonzero(np.isin(cid, x)).tolist() if x else ():
+                    done[h].add(cid[k])
+            # numbers of components in the order of (size, component)
+            order = np.unique(np.stack([size, comp], axis=1), axis=0, return_inverse=True)[1].ravel()
             out = []
-            for h in range(len(cid)):
-                may = np.flatnonzero((left[h + 1 :] > 0) & (comp[h + 1 :] != comp[h])) + h + 1
-                if len(may):
-                    for k in may[near(sig[h : h + 1], sig[may])].tolist():
-                        if cid[h] not in no[k]:
-                            out.append((cid[h], cid[k]))
-                            left[k] -= 1
+            for k in np.flatnonzero(order < order.max()).tolist():
+                may = np.flatnonzero(order > order[k])
+                if done[k]:
+                    may = may[~np.isin(cid[may], list(done[k]))]
+                s = score(sig[k : k + 1], sig[may])
+                may, s = may[s >= least], s[s >= least]
+                if len(may) > tries:
+                    best = np.lexsort((cid[may], -s))[:tries]
+                    may, s = may[best], s[best]
+                out += [(cid[k], cid[h], x) for h, x in zip(may.tolist(), s.tolist())]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
+                x, y, s = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(s, pa.float64())], names=["x", "y", "s"])
 
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid")
-    return dealt.mapInArrow(propose, "a long, b long")
+    nearest = dealt.mapInArrow(propose, "x long, y long, s double").distinct()
+    best = nearest.withColumn("k", F.row_number().over(W.partitionBy("x").orderBy(F.desc("s"), "y"))).where(F.col("k") <= tries)
+    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def grouped(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:

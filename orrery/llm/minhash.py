@@ -124,9 +124,9 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return least / most if most else 1.0
 
 
-def near(one: np.ndarray, many: np.ndarray, least: float = LEAST_SHARE) -> np.ndarray:
-    """Whether enough registers (a byte of each) agree."""
-    return (one == many).mean(axis=1) >= least
+def agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The share of registers (a byte of each) that agree."""
+    return (one == many).mean(axis=1)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -184,7 +184,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     comps = link(
         one_each.select(F.explode("keys").alias("bucket"), "cid"),
         one_each.select("cid", "sig"),
-        near,
+        agreement,
+        LEAST_SHARE,
         lambda shared: partial(verified, texts=texts_of(rows, named.join(shared, "cid", "left_semi")), similarity=similarity),
     )
     of_text = nodes.join(comps, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
