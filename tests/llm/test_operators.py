@@ -315,6 +315,30 @@ def test_lines_by_brute_force(spark):
         assert r["text"] == (text if not want[r["doc_id"]] else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in want[r["doc_id"]]))
 
 
+def test_edit_similarity_alone_decides_which_lines_are_near(spark):
+    rng = random.Random(21)
+    made = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 10)))
+    lines = []
+    for size in (4, 6, 9, 14, 20, 30, 50, 90):
+        for _ in range(6):
+            base = [made() for _ in range(size)]
+            lines.append(" ".join(base))
+            for share in (0.05, 0.12, 0.18, 0.3):  # words of about this share of the line replaced, left out or put in
+                line = base[:]
+                for _ in range(max(1, round(share * size))):
+                    at = rng.randrange(len(line))
+                    line[at : at + rng.randrange(2)] = rng.choice([[made()], [made()], []])
+                lines.append(" ".join(line))
+    rng.shuffle(lines)
+    lines = [x for x in dict.fromkeys(lines) if len(x.split()) >= 3]
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if fuzzy_lines.similar(lines[i], lines[j], 0.8)]
+    sims = fuzzy_lines.simhashes([x.split() for x in lines], {})
+    assert sum(int(sims[i] ^ sims[j]).bit_count() > 3 for i, j in links) > 100
+    roots = closure(len(lines), links)
+    got = {r["doc_id"]: r["kept_in"] for r in fuzzy_lines.without_repeated_lines(docs(spark, list(enumerate(lines)))).collect()}
+    assert got == {i: [] if root == i else [root] for i, root in enumerate(roots)}
+
+
 def test_lines_of_odd_rows(spark):
     rows = [(None, "one two three"), (1, "one two three"), (1, "one two three"), (2, "ONE  two, three\nshort")]
     out = Counter((r["doc_id"], r["text"]) for r in fuzzy_lines.without_repeated_lines(docs(spark, rows)).collect())
