@@ -9,7 +9,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from orrery.llm import fuzzy_lines, metric_join, minhash, mixing, packing, quality_rules, substring_dedup, token_counts, toxicity, zip_warc
@@ -98,6 +100,33 @@ def test_compression_bands(spark):
     assert quality_rules.passing(docs(spark, [])).count() == 0
 
 
+def test_every_band_rejects_noise_and_repetition():
+    rng = random.Random(8)
+    compress = zstandard.ZstdCompressor(level=3).compress
+    verdict = lambda text: quality_rules.measure(text, compress, quality_rules.BANDS, 0.5)[8]
+    edges = [b.from_bytes for b in quality_rules.BANDS] + [100_000]
+    for low, high in zip(edges, edges[1:]):
+        for size in (low, high - 1):
+            plain = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(size))
+            for noise in (plain, base64.b64encode(rng.randbytes(size)).decode()[:size]):
+                spaced = " ".join(noise[i : i + 24] for i in range(0, size, 24))[:size]
+                assert verdict(spaced) == "incompressible", size
+            listed = " ".join(f"item-{i:05d}-of-the-list" for i in range(size // 20))[:size]
+            assert verdict(listed) == "repetitive", size
+
+
+def test_labelled_documents_by_compression():
+    rows = {r["doc_id"]: r["text"] for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()}
+    compress = zstandard.ZstdCompressor(level=3).compress
+    found = {0: [], 1: []}
+    for r in pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist():
+        text = rows[r["doc_id"]] or ""
+        m = quality_rules.measure(text, compress, quality_rules.BANDS, 0.5)
+        if not m[5] and (r["quality"] or len(text.encode()) >= 1024):
+            found[r["quality"]].append(m[6])
+    assert np.mean(found[1]) >= 0.98 and np.mean(found[0]) <= 0.4 and len(found[0]) > 10
+
+
 # ---------------------------------------------------------------- 9 packing
 
 
