@@ -18,7 +18,7 @@ text are one node from the start.
 Defined results: a null text is empty; documents of fewer than five words have
 no shingles and are near nothing but equal texts; rows that repeat a doc_id and
 text count as one document (one result row each); a null doc_id is in a class
-by its text like any other; an empty table gives no rows; extra columns are
+by its text like any other, and comes last where one is to stay; an empty table gives no rows; extra columns are
 ignored.
 """
 
@@ -180,7 +180,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     alone = F.col("least").isNotNull() & (F.row_number().over(own) == 1)
     nodes = checkpointed(groups.withColumn("cid", F.when(alone, F.col("least")).otherwise(-1 - F.shiftrightunsigned(F.xxhash64("h"), 1))))
     named = nodes.select("cid", F.col("least").alias("doc_id"), "h")
-    one_each = signed.where("keys is not null").join(named, ["doc_id", "h"]).select("cid", "keys", "sig").dropDuplicates(["cid"])
+    least = named.select("cid", F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    one_each = signed.where("keys is not null").join(least, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("cid", "keys", "sig").dropDuplicates(["cid"])
     comps = link(
         one_each.select(F.explode("keys").alias("bucket"), "cid"),
         one_each.select("cid", "sig"),
@@ -189,10 +190,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         lambda shared: partial(verified, texts=texts_of(rows, named.join(shared, "cid", "left_semi")), similarity=similarity),
     )
     of_text = nodes.join(comps, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
-    classes = of_text.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n_copies").alias("class_size"))
-    of_text = of_text.join(classes, "component").select("h", "class_id", "class_size", "n_copies")
+    classes = of_text.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("last"), "least", "h")).alias("first"), F.sum("n_copies").alias("class_size"))
+    # of different texts with the smallest id, or all without one, the text with the smallest digest stays
+    of_text = of_text.join(classes, "component").select("h", F.col("first.least").alias("class_id"), "class_size", "n_copies", (F.col("h") == F.col("first.h")).alias("stays"))
     out = signed.select("doc_id", "h").join(of_text, "h")
-    return out.select("doc_id", F.lower(F.hex("h")).alias("text_md5"), "class_id", "class_size", "n_copies", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return out.select("doc_id", F.lower(F.hex("h")).alias("text_md5"), "class_id", "class_size", "n_copies", (F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("stays")).alias("kept"))
 
 
 def texts_of(rows: DataFrame, named: DataFrame) -> DataFrame:

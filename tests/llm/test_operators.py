@@ -294,6 +294,15 @@ def test_near_duplicates_of_odd_rows(spark):
 # ---------------------------------------------------------------- 4 lines
 
 
+def test_near_copies_without_ids(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(None, " ".join(base)), (None, " ".join(base[:-1] + ["other"])), (7, "quite another text of more than five words")]
+    got = [r for r in minhash.near_duplicates(docs(spark, rows)).collect() if r["doc_id"] is None]
+    assert [(r["class_id"], r["class_size"]) for r in got] == [(None, 2)] * 2 and sum(r["kept"] for r in got) == 1
+    assert minhash.without_near_duplicates(docs(spark, rows)).count() == 2
+
+
+
 def test_edit_distance():
     rng = random.Random(1)
 
