@@ -42,8 +42,8 @@ from ._shared import checkpointed, chunks
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
-#: A pair whose registers agree in a smaller share isn't verified; four standard deviations below the limit.
-LEAST_SHARE = 0.8 - 4 * (0.8 * 0.2 / (BANDS * ROWS)) ** 0.5
+#: A pair whose registers agree in a smaller share isn't verified; six standard deviations below the limit.
+LEAST_SHARE = 0.8 - 6 * (0.8 * 0.2 / (BANDS * ROWS)) ** 0.5
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
