@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Written out at once; a lost executor then loses nothing of it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table in the shared folder: compressed, and read by columns; ``discarded`` deletes it."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.stored_at = at
+    return out
+
+
+def discarded(*frames: DataFrame | None) -> None:
+    """Delete tables of ``stored`` that nothing reads any more, and have Spark drop shuffle files that nothing refers to."""
+    for df in frames:
+        if at := getattr(df, "stored_at", None):
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Have the driver's collector run, upon which Spark deletes the shuffle files of finished steps."""
+    spark.sparkContext._jvm.System.gc()
