@@ -7,13 +7,22 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import checkpointed
+from ._shared import discarded, released, stored
 
-#: Members of a bucket that one task compares at once; larger buckets are dealt as pairs of such blocks.
-BLOCK = 2048
+#: Members of a bucket that one task compares with each other; larger buckets are dealt as blocks of about this size.
+BLOCK = 1024
+#: Share of the nodes from which large buckets are estimated, members there that make a bucket large, and how many such buckets are broadcast.
+SAMPLE, LARGE, MOST_HINTS = 1 / 64, 32, 100_000
+#: Pairs that are held at once in a task.
+PAIRS = 1 << 21
+
+Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Check = Callable[[list, list], np.ndarray]
+
+
+# ---------------------------------------------------------------- components of all links
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,9 +32,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     neighbour the smallest one, so a hub's links are spread over its
     neighbours, and the number of rounds is logarithmic.  Every step is an
     aggregation that combines before the shuffle and a join against one row per
-    node, which Spark can split when a node is hot.
+    node, which Spark can split when a node is hot.  Only the last step's table
+    is kept.
     """
-    e = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while state[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -33,50 +43,84 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = checkpointed(small.select("x.u", "x.v").where("u <> v").distinct())
-        before, state = state, e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        before, old = state, e
+        e = stored(small.select("x.u", "x.v").where("u <> v").distinct())
+        discarded(old)
+        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == state:
             break
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def link(members: DataFrame, sigs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+# ---------------------------------------------------------------- linking within buckets
+
+
+def dealt(nodes: DataFrame, members_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(bucket, salt, blocks, ...) for the members of all nodes: buckets that are large by a sample of the nodes are split by salt.
+
+    The sample only decides which members meet in one task first; all other
+    pairs of a split bucket are compared across its blocks later.
+    """
+    counts = members_of(nodes.sample(SAMPLE, seed=11)).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE)
+    hints = stored(counts.select("bucket", F.ceil(F.col("n") / SAMPLE / BLOCK).cast("int").alias("blocks")))
+    if hints.count() <= MOST_HINTS:
+        hints = F.broadcast(hints)  # its size has just been checked; beyond it, a shuffled join
+    members = members_of(nodes).join(hints, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return members.withColumn("salt", F.pmod(F.xxhash64("cid", "bucket"), F.col("blocks")).cast("int"))
+
+
+def link(members: DataFrame, sigs: DataFrame, score: Score, least: float, bodies_of: Callable[[DataFrame], DataFrame], check: Check) -> DataFrame:
     """(node, component) of members that share a bucket and pass the test; no link that would join two components is lost.
 
-    ``members`` has (bucket long, cid long) and may have the sig itself, ``sigs``
-    (cid long, sig binary);
-    ``score(one, many)`` (rows of uint8) tells how near pairs seem, and pairs
-    under ``least`` can't pass; ``verifier`` takes the members (cid) that may be
-    tested at all and returns the test: from pairs (a, b) to those that hold.
-
-    Pairs aren't expanded: members without any seemingly near one in a bucket
-    leave it; then each member of a bucket is tried against the
-    first of its bucket; then each against the 2, 8, 32, ... that seem nearest
-    outside its component, and what failed is not tried again.  The rounds end
-    when no pair in any bucket could still join two components.  In a group of
-    near copies nearly all are joined after the second round, so it costs some
-    tests per member, not one per pair.
+    ``members`` has (bucket, salt, blocks, cid) as from ``dealt``, ``sigs``
+    (cid, sig binary); ``score(one, many)`` (rows of uint8) tells how near pairs
+    seem, and pairs under ``least`` can't pass; ``bodies_of`` takes nodes (cid)
+    and returns their bodies (cid, body), and ``check`` tells of lists of bodies
+    which pairs hold.
+
+    1. Each bucket (or block of a large one) hands on a tree of what seems near,
+       the nearest first: a row per member at most, never the pairs.
+    2. The trees' links are tested, each once, and components formed.
+    3. A bucket is done if two members seem near at most, or if all are in one
+       component.  In the others (and in large ones across their blocks) all
+       pairs of different components that seem near are tested inside the task,
+       until none is left; it hands on a tree again.
     """
-    near = checkpointed(seemingly_near(members, sigs, score, least))
-    shared = checkpointed(near.withColumn("hub", F.min("cid").over(W.partitionBy("bucket"))))
-    sigs = checkpointed(sigs.join(shared.select("cid").distinct(), "cid", "left_semi"))
-    verify = verifier(shared.select("cid").distinct())
-    links, tested, comps, tries = None, None, None, 2
-    while True:
-        if comps is None:
-            pairs = near_pairs(shared.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), sigs, score, least)
-        else:
-            pairs = open_pairs(shared, sigs, comps, tested, score, least, tries)
-            tries = min(4 * tries, BLOCK)
-        pairs = checkpointed(pairs)
-        if pairs.isEmpty() and comps is not None:
-            return comps
-        good = checkpointed(verify(pairs).select("a", "b"))
-        links = good if links is None else links.union(good)
-        failed = pairs.join(good, ["a", "b"], "left_anti")
-        tested = checkpointed(failed if tested is None else tested.union(failed))
-        comps = checkpointed(connected_components(links))
+    spark = members.sparkSession
+    rows = members.join(sigs, "cid").select("bucket", "salt", "blocks", "cid", "sig")
+    trees = stored(rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt").mapInArrow(in_groups(("bucket", "salt"), forest_of(score, least)), TREE))
+    released(spark)
+    pairs = stored(trees.where("b is not null").select("a", "b").distinct())
+    split = trees.where("b is null").select("bucket", F.col("a").alias("cid"))
+    bodies = stored(bodies_of(stored(pairs.select(F.explode(F.array("a", "b")).alias("cid")).union(split.select("cid")).distinct())))
+    both = pairs.join(bodies.select(F.col("cid").alias("b"), F.col("body").alias("bt")), "b")
+    both = both.join(bodies.select(F.col("cid").alias("a"), F.col("body").alias("at")), "a")
+    good = stored(both.select("a", "b", "at", "bt").mapInArrow(tested(check), "a long, b long"))
+    discarded(pairs)
+    comps = connected_components(good)
+    several = trees.where("b is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("links")).where("links > 1").select("bucket")
+    seen = trees.where("b is not null").join(several, "bucket").select("bucket", F.explode(F.array("a", "b")).alias("cid")).union(split).distinct()
+    named = seen.join(comps, F.col("cid") == F.col("node"), "left").select("bucket", "cid", F.coalesce("component", "cid").alias("component"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    left = stored(named.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket"))
+    released(spark)
+    if left.isEmpty():
+        return comps
+    across = (
+        left.join(sigs, "cid")
+        .join(bodies, "cid")
+        .withColumn("own", F.pmod(F.xxhash64("cid", F.lit("across")), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "component", "sig", "body")
+    )
+    more = stored(across.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(in_groups(("bucket", "i", "j"), links_of(score, least, check)), "a long, b long"))
+    comps = connected_components(good.union(more))
+    discarded(trees, bodies, left, good, more)
+    return comps
+
+
+TREE = "bucket long, a long, b long"
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -89,137 +133,189 @@ def matrix(sigs: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
 
 
-def seemingly_near(members: DataFrame, sigs: DataFrame, score: Callable, least: float) -> DataFrame:
-    """(bucket, cid) of the members that have another one in their bucket that may pass; compared in blocks, marked and not paired."""
-    shared = members.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("bucket"))).where("n > 1")
-    if "sig" not in members.columns:
-        shared = shared.join(sigs, "cid")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = (
-        shared.withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "sig")
-        .repartition("bucket", "i", "j")
-        .sortWithinPartitions("bucket", "i", "j")
-    )
+def in_groups(keys: tuple[str, ...], solve: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch | None]):
+    """A function for mapInArrow that calls ``solve`` with whole groups (rows sorted by the keys) and their numbers."""
 
-    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = (np.stack([column(batch, c).to_numpy().astype(np.int64) for c in ("bucket", "i", "j")], axis=1), column(batch, "cid").to_numpy(), matrix(column(batch, "sig")))
-            held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
-            change = np.flatnonzero((held[0][1:] != held[0][:-1]).any(axis=1))
-            if len(change):  # all but the last group are whole
-                cut = int(change[-1]) + 1
-                yield marked(*(x[:cut] for x in held))
-                held = tuple(x[cut:] for x in held)
-        if held is not None:
-            yield marked(*held)
-
-    def marked(keys: np.ndarray, cid: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
-        hit = np.zeros(len(cid), bool)
-        group = np.append(0, np.cumsum((keys[1:] != keys[:-1]).any(axis=1)))
-        at, shift = np.arange(len(cid)), 0
-        while len(at):
-            shift += 1
-            at = at[at + shift < len(cid)]
-            at = at[group[at + shift] == group[at]]
-            for part in np.array_split(at, len(at) // 50_000 + 1):
-                near = part[score(sig[part], sig[part + shift]) >= least]
-                hit[near] = hit[near + shift] = True
-        return pa.RecordBatch.from_arrays([pa.array(keys[hit, 0]), pa.array(cid[hit])], names=["bucket", "cid"])
-
-    return dealt.mapInArrow(mark, "bucket long, cid long").distinct()
-
-
-def near_pairs(pairs: DataFrame, sigs: DataFrame, score: Callable, least: float) -> DataFrame:
-    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ok = score(matrix(column(batch, "asig")), matrix(column(batch, "bsig"))) >= least
-                yield batch.select(["a", "b"]).filter(pa.array(ok))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, group in whole_groups(batches, keys):
+            # as many groups at once as have a bounded number of pairs
+            size = np.bincount(group)
+            part = (np.cumsum(size.astype(np.int64) ** 2) // PAIRS)[group]
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(group)]
+            for at, end in zip(edges, edges[1:]):
+                if (got := solve(batch.slice(at, end - at), group[at:end] - group[at])) is not None:
+                    yield got
 
-    both = pairs.join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("bsig")), "b").join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("asig")), "a")
-    return both.select("a", "b", "asig", "bsig").mapInArrow(keep, "a long, b long")
+    return run
 
 
-def open_pairs(members: DataFrame, sigs: DataFrame, comps: DataFrame, tested: DataFrame, score: Callable, least: float, tries: int) -> DataFrame:
-    """Pairs in one bucket, of different components, that may pass and haven't failed.
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches cut where a group ends, and the number of each row's group."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = batch if held is None else joined_batches([held, batch])
+        group = numbers(held, keys)
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut:
+            yield held.slice(0, cut), group[:cut]
+            held = held.slice(cut)
+    if held is not None:
+        yield held, numbers(held, keys)
 
-    A pair belongs to its member in the smaller component, which has the
-    ``tries`` of its pairs tried that seem nearest.
-    """
-    sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    named = comps.join(sizes, "component").select(F.col("node").alias("cid"), "component", "size")
-    now = members.join(named, "cid", "left").withColumns({"component": F.coalesce("component", "cid"), "size": F.coalesce("size", F.lit(1))})
-    mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    failed = tested.groupBy(F.col("b").alias("cid")).agg(F.collect_set("a").alias("no"))
-    rows = (
-        now.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
-        .join(sigs, "cid")
-        .join(failed, "cid", "left")
-        .withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-        .select("bucket", "i", "j", "cid", "component", "size", "sig", "no")
-    )
 
-    def propose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, ("bucket", "i", "j")):
-            cid, comp, size = (np.asarray(column(group, c).to_numpy(zero_copy_only=False)) for c in ("cid", "component", "size"))
-            sig, no = matrix(column(group, "sig")), column(group, "no").to_pylist()
-            done = [set(x or ()) for x in no]
-            for k, x in enumerate(no):  # a failed pair is written at its larger member; known at both from here on
-                for h in np.flatnonzero(np.isin(cid, x)).tolist() if x else ():
-                    done[h].add(cid[k])
-            # numbers of components in the order of (size, component)
-            order = np.unique(np.stack([size, comp], axis=1), axis=0, return_inverse=True)[1].ravel()
-            out = []
-            for k in np.flatnonzero(order < order.max()).tolist():
-                may = np.flatnonzero(order > order[k])
-                if done[k]:
-                    may = may[~np.isin(cid[may], list(done[k]))]
-                s = score(sig[k : k + 1], sig[may])
-                may, s = may[s >= least], s[s >= least]
-                if len(may) > tries:
-                    best = np.lexsort((cid[may], -s))[:tries]
-                    may, s = may[best], s[best]
-                out += [(cid[k], cid[h], x) for h, x in zip(may.tolist(), s.tolist())]
-            if out:
-                x, y, s = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(s, pa.float64())], names=["x", "y", "s"])
-
-    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid")
-    nearest = dealt.mapInArrow(propose, "x long, y long, s double").distinct()
-    best = nearest.withColumn("k", F.row_number().over(W.partitionBy("x").orderBy(F.desc("s"), "y"))).where(F.col("k") <= tries)
-    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+def numbers(batch: pa.RecordBatch, keys: tuple[str, ...]) -> np.ndarray:
+    change = np.zeros(batch.num_rows, bool)
+    for k in keys:
+        x = column(batch, k).to_numpy(zero_copy_only=False)
+        change[1:] |= x[1:] != x[:-1]
+    return np.cumsum(change)
 
 
 def grouped(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """Whole groups from batches sorted by the keys."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        change = np.zeros(batch.num_rows, bool)
-        for k in keys:
-            x = column(batch, k).to_numpy(zero_copy_only=False)
-            change[1:] |= x[1:] != x[:-1]
-        if held and any(column(held[-1], k)[-1] != column(batch, k)[0] for k in keys):
-            change[0] = True
-        starts = np.flatnonzero(change).tolist()
-        at = 0
-        for s in starts:
-            if s > at:
-                held.append(batch.slice(at, s - at))
-            yield joined_batches(held)
-            held, at = [], s
-        held.append(batch.slice(at))
-    if held:
-        yield joined_batches(held)
+    """Whole groups, one by one, from batches sorted by the keys."""
+    for batch, group in whole_groups(batches, keys):
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        for at, end in zip(edges, edges[1:]):
+            yield batch.slice(at, end - at)
 
 
 def joined_batches(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def near_in_groups(group: np.ndarray, near: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows (i, j, score) of one group that pass ``near(i, j)`` (which passes, and scores), at growing distances, all groups at once."""
+    at, shift = np.arange(len(group)), 0
+    while len(at):
+        shift += 1
+        at = at[at + shift < len(group)]
+        at = at[group[at + shift] == group[at]]
+        for part in np.array_split(at, len(at) // 50_000 + 1):
+            if len(part):
+                ok, s = near(part, part + shift)
+                if ok.any():
+                    yield part[ok], part[ok] + shift, s[ok]
+
+
+def joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest row that each row reaches when x[k] and y[k] are linked too."""
+    while True:
+        a, b = root[x], root[y]
+        if (a == b).all():
+            return root
+        parent = np.arange(len(root))
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        root = parent[root]
+
+
+def best_of_each(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of pairs in the order of preference: the places of each component's first one."""
+    first = np.full(len(root), len(i))
+    place = np.arange(len(i))
+    np.minimum.at(first, root[i], place)
+    np.minimum.at(first, root[j], place)
+    return np.unique(first[first < len(i)])
+
+
+def ordered(cid: np.ndarray, i: np.ndarray, j: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((np.maximum(cid[i], cid[j]), np.minimum(cid[i], cid[j]), -s))
+    return i[order], j[order], s[order]
+
+
+def forest(n: int, cid: np.ndarray, i: np.ndarray, j: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The pairs of a spanning forest that takes the nearest first."""
+    i, j, s = ordered(cid, i, j, s)
+    root, out = np.arange(n), []
+    ki, kj, place = i, j, np.arange(len(i))
+    while len(ki):
+        pick = best_of_each(root, ki, kj)
+        out.append(place[pick])
+        root = joined(root, ki[pick], kj[pick])
+        go = root[ki] != root[kj]
+        ki, kj, place = ki[go], kj[go], place[go]
+    k = np.concatenate([*out, np.zeros(0, np.int64)]).astype(np.int64)
+    return i[k], j[k], s[k]
+
+
+def forest_of(score: Score, least: float):
+    """(bucket, a, b): trees of what seems near in each block; a row without b for each member of a bucket in several blocks."""
+
+    def solve(batch: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch | None:
+        cid, bucket, sig = column(batch, "cid").to_numpy(), column(batch, "bucket").to_numpy(), matrix(column(batch, "sig"))
+
+        def near(i, j):
+            s = score(sig[i], sig[j])
+            return s >= least, s
+
+        held, n = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+        for found in near_in_groups(group, near):
+            held.append(found)
+            n += len(found[0])
+            if n > PAIRS:
+                held = [forest(len(cid), cid, *(np.concatenate(x) for x in zip(*held)))]
+                n = 0
+        i, j, _ = forest(len(cid), cid, *(np.concatenate(x) for x in zip(*held)))
+        large = np.flatnonzero(column(batch, "blocks").to_numpy() > 1)
+        if not len(i) + len(large):
+            return None
+        b = np.maximum(cid[i], cid[j]).tolist() + [None] * len(large)
+        return pa.RecordBatch.from_arrays([pa.array(np.append(bucket[i], bucket[large])), pa.array(np.append(np.minimum(cid[i], cid[j]), cid[large])), pa.array(b, pa.int64())], names=["bucket", "a", "b"])
+
+    return solve
+
+
+def links_of(score: Score, least: float, check: Check):
+    """(a, b): links that hold between members of different components, as trees."""
+
+    def solve(batch: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch | None:
+        cid, own, sig = column(batch, "cid").to_numpy(), column(batch, "own").to_numpy(), matrix(column(batch, "sig"))
+        within = column(batch, "i").to_numpy() == column(batch, "j").to_numpy()
+        # a node per group and component
+        _, start = np.unique(np.stack([group, column(batch, "component").to_numpy()], axis=1), axis=0, return_inverse=True)
+        first = np.full(start.max() + 1, len(group))
+        np.minimum.at(first, start.ravel(), np.arange(len(group)))
+        root = first[start.ravel()]
+
+        def near(i, j):
+            s = score(sig[i], sig[j])
+            return (s >= least) & (root[i] != root[j]) & (within[i] | (own[i] != own[j])), s
+
+        found = [*near_in_groups(group, near)]
+        if not found:
+            return None
+        i, j, _ = ordered(cid, *(np.concatenate(x) for x in zip(*found)))
+        body, links, extra = column(batch, "body"), [], 0
+        while len(i):
+            pick = np.union1d(best_of_each(root, i, j), np.arange(min(extra, len(i))))
+            ok = checked(check, body, i[pick], j[pick])
+            links.append((i[pick[ok]], j[pick[ok]]))
+            extra = 0 if 2 * ok.sum() > len(ok) else min(2 * extra + 64, 4096)
+            root = joined(root, *links[-1])
+            go = root[i] != root[j]
+            go[pick] = False
+            i, j = i[go], j[go]
+        a, b = (np.concatenate(x) for x in zip(*links))
+        a, b, _ = forest(len(cid), cid, a, b, np.zeros(len(a)))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[a], cid[b])), pa.array(np.maximum(cid[a], cid[b]))], names=["a", "b"])
+
+    return solve
+
+
+def checked(check: Check, body: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    bodies = body.take(pa.array(used)).to_pylist()
+    return check([bodies[k] for k in at[: len(i)]], [bodies[k] for k in at[len(i) :]])
+
+
+def tested(check: Check):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+                ok = check(column(part, "at").to_pylist(), column(part, "bt").to_pylist())
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run

@@ -9,9 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..checkpoints import checkpointed, shared_dir
+from ..checkpoints import checkpointed, discarded, released, shared_dir, stored
 
-__all__ = ["CHUNK_BYTES", "checkpointed", "chunks", "shared_dir", "strings", "table"]
+__all__ = ["CHUNK_BYTES", "checkpointed", "chunks", "discarded", "released", "shared_dir", "stored", "strings", "table"]
 
 #: Bytes of text handled together by numpy code; bounds a worker's memory.
 CHUNK_BYTES = 1 << 20

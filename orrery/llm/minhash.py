@@ -11,15 +11,16 @@ equal to their similarity.  Processes are followed in time and stop as soon as
 a point comes later than all registers, so a long text costs little more than
 one point per shingle.
 
-Registers are banded; documents that share a band are tried (module
-``_components``), and the exact multiset overlap decides.  Documents of equal
-text are one node from the start.
+Registers are banded; of documents that share a band, those whose registers
+agree often enough are tried (module ``_components``), and the exact multiset
+overlap decides.  Documents of equal text are one node from the start.
 
 Defined results: a null text is empty; documents of fewer than five words have
 no shingles and are near nothing but equal texts; rows that repeat a doc_id and
 text count as one document (one result row each); a null doc_id is in a class
-by its text like any other, and comes last where one is to stay; an empty table gives no rows; extra columns are
-ignored.
+by its text like any other, and comes last where one is to stay; ids are read as
+longs; an empty table gives no rows; extra columns are ignored by
+``near_duplicates`` and kept by ``without_near_duplicates``, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._components import column, link
-from ._shared import checkpointed, chunks
+from ._components import column, dealt, link
+from ._shared import chunks, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
@@ -129,22 +130,10 @@ def agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (one == many).mean(axis=1)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose exact multiset overlap is large enough."""
-
-    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple] = {}
-        for batch in batches:
-            ok = []
-            for a, at, bt in zip(column(batch, "a").to_pylist(), column(batch, "at"), column(batch, "bt")):
-                if a not in held:
-                    held = {a: bag(at.as_py())}  # a hub's pairs come together
-                ok.append(overlap(held[a], bag(bt.as_py())) >= similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    both = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("bt")), "b")
-    both = both.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("at")), "a")
-    return both.select("a", "b", "at", "bt").mapInArrow(check, "a long, b long").distinct()
+def overlapping(similarity: float, a: list[str], b: list[str]) -> np.ndarray:
+    """Which pairs of texts have an exact multiset overlap of at least ``similarity``."""
+    bags = {t: bag(t) for t in {*a, *b}}
+    return np.array([overlap(bags[x], bags[y]) >= similarity for x, y in zip(a, b)], bool)
 
 
 def signed_documents(rows: DataFrame) -> DataFrame:
@@ -173,23 +162,22 @@ def signed_documents(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text_md5, class_id (smallest doc_id of its class), class_size, n_copies (rows of equal text), kept."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    signed = checkpointed(signed_documents(rows))
-    groups = signed.groupBy("h").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
+    signed = stored(signed_documents(rows))
+    groups = signed.groupBy("h").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     # the node of a text is the smallest id that has it; where texts share an id or have none, a negative number
     own = W.partitionBy("least").orderBy("h")
     alone = F.col("least").isNotNull() & (F.row_number().over(own) == 1)
-    nodes = checkpointed(groups.withColumn("cid", F.when(alone, F.col("least")).otherwise(-1 - F.shiftrightunsigned(F.xxhash64("h"), 1))))
-    named = nodes.select("cid", F.col("least").alias("doc_id"), "h")
-    least = named.select("cid", F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-    one_each = signed.where("keys is not null").join(least, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("cid", "keys", "sig").dropDuplicates(["cid"])
+    nodes = stored(groups.withColumn("cid", F.when(alone, F.col("least")).otherwise(-1 - F.shiftrightunsigned(F.xxhash64("h"), 1))))
+    full = nodes.where("keys is not null").select("cid", "keys", "sig")
     comps = link(
-        one_each.select(F.explode("keys").alias("bucket"), "cid"),
-        one_each.select("cid", "sig"),
+        dealt(full, lambda n: n.select(F.explode("keys").alias("bucket"), "cid")),
+        full.select("cid", "sig"),
         agreement,
         LEAST_SHARE,
-        lambda shared: partial(verified, texts=texts_of(rows, named.join(shared, "cid", "left_semi")), similarity=similarity),
+        lambda wanted: texts_of(rows, nodes.select("cid", F.col("least").alias("doc_id"), "h").join(wanted, "cid", "left_semi")),
+        partial(overlapping, similarity),
     )
-    of_text = nodes.join(comps, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
+    of_text = nodes.drop("keys", "sig").join(comps, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     classes = of_text.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("last"), "least", "h")).alias("first"), F.sum("n_copies").alias("class_size"))
     # of different texts with the smallest id, or all without one, the text with the smallest digest stays
     of_text = of_text.join(classes, "component").select("h", F.col("first.least").alias("class_id"), "class_size", "n_copies", (F.col("h") == F.col("first.h")).alias("stays"))
@@ -198,14 +186,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 
 
 def texts_of(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """(cid, text) of the named nodes; the only place where texts are shuffled, and once."""
+    """(cid, body) of the named nodes, a row each; texts are shuffled once to find them."""
     wanted = named.select("cid", F.col("doc_id").alias("_id"), "h")
     found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).where(F.unhex(F.md5("text")) == F.col("h"))
-    return checkpointed(found.select("cid", "text"))
+    return found.select("cid", F.col("text").alias("body")).dropDuplicates(["cid"])
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, one of each class, with all their columns."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_h"), "class_id").distinct()
-    tagged = docs.withColumns({"_id": F.col(id_col).cast("long"), "_h": F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    return tagged.join(kept, tagged["_id"].eqNullSafe(kept["_id"]) & (tagged["_h"] == kept["_h"]), "left_semi").dropDuplicates(["_id", "_h"]).drop("_id", "_h")
+    """The documents that stay, one of each class, with all their columns, whatever their names."""
+    key = lambda i, h: F.concat_ws("|", F.col(i).cast("long").cast("string"), h)
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).where("kept").select(key("doc_id", F.col("text_md5")).alias("kept"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key(f"`{id_col}`", F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("key"))
+    return rows.join(kept, F.col("key") == F.col("kept"), "left_semi").dropDuplicates(["key"]).select("row.*")

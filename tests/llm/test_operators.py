@@ -11,10 +11,11 @@ from collections import Counter
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from orrery.llm import fuzzy_lines, metric_join, minhash, mixing, packing, quality_rules, substring_dedup, token_counts, toxicity, zip_warc
+from orrery.llm import _components, fuzzy_lines, metric_join, minhash, mixing, packing, quality_rules, substring_dedup, token_counts, toxicity, zip_warc
 from orrery.llm._components import connected_components
 from orrery.llm._shared import shared_dir
 
@@ -291,6 +292,34 @@ def test_near_duplicates_of_odd_rows(spark):
     assert Counter(r["doc_id"] for r in left.collect()) == Counter([1, 3, None, 4, 5, 6])
 
 
+def test_large_groups_of_near_duplicates(spark, monkeypatch):
+    """Groups far larger than a block: near copies, and documents whose signatures seem near but whose overlap is too small."""
+    monkeypatch.setattr(_components, "BLOCK", 16)
+    monkeypatch.setattr(_components, "SAMPLE", 1.0)
+    monkeypatch.setattr(_components, "LARGE", 32)
+    rng = random.Random(12)
+    copies, half = ([f"w{rng.randrange(10_000)}" for _ in range(n)] for n in (200, 170))
+    rows = []
+    for k in range(400):
+        own = copies[:]
+        own[rng.randrange(200)] = f"x{k}"
+        rows.append((k, " ".join(own)))
+    for k in range(100):
+        rows.append((1000 + k, " ".join(half + [f"y{rng.randrange(10**6)}" for _ in range(27)])))
+    rng.shuffle(rows)
+    rows.sort(key=lambda r: r[0])
+    bags = [minhash.bag(t) for _, t in rows]
+    roots = closure(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if minhash.overlap(bags[i], bags[j]) >= 0.8])
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {rows[k][0]: rows[r][0] for k, r in enumerate(roots)}
+
+
+def test_near_duplicates_with_clashing_columns(spark):
+    names = ["_id", "_h", "key", "kept", "row", "doc_id", "text"]
+    df = spark.createDataFrame([(*"abcde", 1, "one two"), (*"abcde", 2, "one two")], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    assert [tuple(r) for r in minhash.without_near_duplicates(df).collect()] == [(*"abcde", 1, "one two")]
+
+
 # ---------------------------------------------------------------- 4 lines
 
 
@@ -318,6 +347,10 @@ def test_edit_distance():
     for _ in range(500):
         a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(0, 14))) for _ in range(2))
         assert fuzzy_lines.edit_distance(a, b) == plain(a, b)
+    pairs = [tuple("".join(rng.choice("ab日 ") for _ in range(rng.randrange(0, 180))) for _ in range(2)) for _ in range(60)]
+    pairs += [(a, "".join(c for c in a if rng.random() > 0.15)) for a, _ in pairs]
+    want = [plain(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9 for a, b in pairs]
+    assert fuzzy_lines.all_similar(0.8, *zip(*pairs)).tolist() == want and 0 < sum(want) < len(want)
 
 
 def test_lines_by_brute_force(spark):
@@ -336,8 +369,7 @@ def test_lines_by_brute_force(spark):
     rows += [(50, None), (51, ""), (52, "x" * 50_000)]
     seen = [(i, k, " ".join(w)) for i, t in rows for k, line in enumerate((t or "").split("\n")) if len(w := fuzzy_lines.normalised(line)) >= 3]
     names = sorted({n for *_, n in seen})
-    sims = fuzzy_lines.simhashes([n.split() for n in names], {})
-    links = [(i, j) for i in range(len(names)) for j in range(i) if int(sims[i] ^ sims[j]).bit_count() <= 3 and fuzzy_lines.similar(names[i], names[j], 0.8)]
+    links = [(i, j) for i in range(len(names)) for j in range(i) if fuzzy_lines.similar(names[i], names[j], 0.8)]
     roots = dict(zip(names, closure(len(names), links)))
     first: dict[int, tuple] = {}
     for i, k, n in seen:
@@ -353,6 +385,11 @@ def test_lines_by_brute_force(spark):
         assert r["text"] == (text if not want[r["doc_id"]] else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in want[r["doc_id"]]))
 
 
+def simhash(line):
+    hashes = [xxhash.xxh3_64_intdigest(w) for w in line.split()]
+    return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+
+
 def test_edit_similarity_alone_decides_which_lines_are_near(spark):
     rng = random.Random(21)
     made = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 10)))
@@ -370,13 +407,64 @@ def test_edit_similarity_alone_decides_which_lines_are_near(spark):
     rng.shuffle(lines)
     lines = [x for x in dict.fromkeys(lines) if len(x.split()) >= 3]
     links = [(i, j) for i in range(len(lines)) for j in range(i) if fuzzy_lines.similar(lines[i], lines[j], 0.8)]
-    sims = fuzzy_lines.simhashes([x.split() for x in lines], {})
-    assert sum(int(sims[i] ^ sims[j]).bit_count() > 3 for i, j in links) > 100
+    sims = [simhash(x) for x in lines]
+    assert sum((sims[i] ^ sims[j]).bit_count() > 3 for i, j in links) > 100  # blocks of a SimHash would miss these
     roots = closure(len(lines), links)
     got = {r["doc_id"]: r["kept_in"] for r in fuzzy_lines.without_repeated_lines(docs(spark, list(enumerate(lines)))).collect()}
     assert got == {i: [] if root == i else [root] for i, root in enumerate(roots)}
 
 
+def test_large_groups_of_lines(spark, monkeypatch):
+    """Near copies and lines that only seem near, in groups far larger than a block, as all buckets are split."""
+    monkeypatch.setattr(_components, "BLOCK", 16)
+    monkeypatch.setattr(_components, "SAMPLE", 1.0)
+    monkeypatch.setattr(_components, "LARGE", 32)
+    rng = random.Random(3)
+    made = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 10)))
+    copies, half = [made() for _ in range(30)], [made() for _ in range(20)]
+    lines = []
+    for k in range(400):
+        own = copies[:]
+        own[rng.randrange(30)] = made()
+        lines.append(" ".join(own))
+        if k % 4 == 0:
+            lines.append(" ".join(half + [made() for _ in range(12)]))
+    lines = [*dict.fromkeys(lines)]
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if fuzzy_lines.similar(lines[i], lines[j], 0.8)]
+    roots = closure(len(lines), links)
+    got = {r["doc_id"]: r["kept_in"] for r in fuzzy_lines.without_repeated_lines(docs(spark, list(enumerate(lines)))).collect()}
+    assert got == {i: [] if root == i else [root] for i, root in enumerate(roots)}
+
+
+def test_lines_of_sf001_by_exhaustive_comparison(spark):
+    """Every pair of the different lines of a corpus that lengths and counts of characters don't rule out, measured on its own."""
+    texts = [r["text"] or "" for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
+    names = sorted({" ".join(w) for t in texts for x in t.split("\n") if len(w := fuzzy_lines.normalised(x)) >= 3})
+    counts = np.array([np.bincount(np.frombuffer(n.encode("utf-32-le"), np.uint32) % 64, minlength=64) for n in names])
+    sizes = counts.sum(axis=1)
+    pairs = []
+    for i in range(len(names)):
+        longer = np.maximum(sizes[:i], sizes[i])
+        apart = np.maximum(np.maximum(counts[:i] - counts[i], 0).sum(axis=1), np.maximum(counts[i] - counts[:i], 0).sum(axis=1))
+        pairs += [(i, int(j)) for j in np.flatnonzero(apart <= 0.2 * longer + 1e-9) if fuzzy_lines.similar(names[i], names[j], 0.8)]
+    classes = spark.createDataFrame(list(enumerate(names)), "cid long, norm string")
+    members = fuzzy_lines.candidates(classes, 0.8)
+    sketch = {r["cid"]: np.frombuffer(r["sig"], np.uint8)[None, :] for r in fuzzy_lines.sketched(classes).collect()}
+    buckets: dict[int, set] = {}
+    for r in members.collect():
+        buckets.setdefault(r["cid"], set()).add(r["bucket"])
+    found = [bool(buckets.get(i, set()) & buckets.get(j, set())) and fuzzy_lines.closeness(0.8, sketch[i], sketch[j])[0] >= fuzzy_lines.LEAST_SHARE for i, j in pairs]
+    assert len(found) > 20 and np.mean(found) >= 0.9
+
+
+def test_lines_with_clashing_columns(spark):
+    names = ["removed", "n_lines", "_gid", "_id", "_th", "_text", "row", "doc_id", "text", "th", "removed_lines"]
+    df = spark.createDataFrame([(*"abcdefg", 1, "one two three", "t", "u"), (*"abcdefg", 2, "one two three", "t", "u")], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    out = {r["doc_id"]: r.asDict() for r in fuzzy_lines.without_repeated_lines(df).collect()}
+    kept = {"removed": "a", "_gid": "c", "_id": "d", "_th": "e", "_text": "f", "row": "g", "th": "t"}
+    assert out == {1: kept | {"doc_id": 1, "text": "one two three", "n_lines": 1, "removed_lines": [], "kept_in": []}, 2: kept | {"doc_id": 2, "text": "", "n_lines": 1, "removed_lines": [0], "kept_in": [1]}}
+
+
 def test_lines_of_odd_rows(spark):
     rows = [(None, "one two three"), (1, "one two three"), (1, "one two three"), (2, "ONE  two, three\nshort")]
     out = Counter((r["doc_id"], r["text"]) for r in fuzzy_lines.without_repeated_lines(docs(spark, rows)).collect())

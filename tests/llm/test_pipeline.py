@@ -35,12 +35,18 @@ def good(rows):
 
 
 def lined(rows):
-    from orrery.llm.fuzzy_lines import normalised, simhashes, similar
+    from orrery.llm.fuzzy_lines import normalised, similar
 
     seen = [(r["doc_id"], k, " ".join(w)) for r in rows for k, x in enumerate(r["text"].split("\n")) if len(w := normalised(x)) >= 3]
     names = sorted({n for *_, n in seen})
-    sims = simhashes([n.split() for n in names], {})
-    links = [(i, int(j)) for i in range(len(names)) for j in np.flatnonzero(np.bitwise_count(sims[:i] ^ sims[i]) <= 3) if similar(names[i], names[j], 0.8)]
+    counts = np.array([np.bincount(np.frombuffer(n.encode("utf-32-le"), np.uint32) % 64, minlength=64) for n in names])
+    sizes = counts.sum(axis=1)
+
+    def possible(i):  # edits change the counts of characters by one each
+        apart = np.maximum(np.maximum(counts[:i] - counts[i], 0).sum(axis=1), np.maximum(counts[i] - counts[:i], 0).sum(axis=1))
+        return np.flatnonzero(apart <= 0.2 * np.maximum(sizes[:i], sizes[i]) + 1e-9).tolist()
+
+    links = [(i, j) for i in range(len(names)) for j in possible(i) if similar(names[i], names[j], 0.8)]
     roots = dict(zip(names, closure(len(names), links)))
     first = {}
     for i, k, n in seen:
