@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discarded, released, stored
+from ._shared import chunks, discarded, released, stored
 
 #: Members of a bucket that one task compares with each other; larger buckets are dealt as blocks of about this size.
 BLOCK = 1024
@@ -17,6 +17,8 @@ BLOCK = 1024
 SAMPLE, LARGE, MOST_HINTS = 1 / 64, 32, 100_000
 #: Pairs that are held at once in a task.
 PAIRS = 1 << 21
+#: Bytes of one side of the pairs that are tested at once.
+CHECKED = 4 << 20
 
 Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
 Check = Callable[[list, list], np.ndarray]
@@ -85,7 +87,8 @@ def link(members: DataFrame, sigs: DataFrame, score: Score, least: float, bodies
     3. A bucket is done if two members seem near at most, or if all are in one
        component.  In the others (and in large ones across their blocks) all
        pairs of different components that seem near are tested inside the task,
-       until none is left; it hands on a tree again.
+       each in the first bucket that both share, until none is left; it hands on
+       a tree again.
     """
     spark = members.sparkSession
     rows = members.join(sigs, "cid").select("bucket", "salt", "blocks", "cid", "sig")
@@ -107,14 +110,19 @@ def link(members: DataFrame, sigs: DataFrame, score: Score, least: float, bodies
     released(spark)
     if left.isEmpty():
         return comps
+    # each with the buckets it is left in (never more than it has keys), so that a pair is tested in the first that both share
+    shared = left.groupBy("cid").agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))
     across = (
-        left.join(sigs, "cid")
+        left.join(shared, "cid")
+        .join(sigs, "cid")
         .join(bodies, "cid")
         .withColumn("own", F.pmod(F.xxhash64("cid", F.lit("across")), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "component", "sig", "body")
+        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "component", "buckets", "sig", "body")
     )
-    more = stored(across.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(in_groups(("bucket", "i", "j"), links_of(score, least, check)), "a long, b long"))
+    # a number of tasks is given, as few bytes mean much work here
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    more = stored(across.repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(in_groups(("bucket", "i", "j"), links_of(score, least, check)), "a long, b long"))
     comps = connected_components(good.union(more))
     discarded(trees, bodies, left, good, more)
     return comps
@@ -288,6 +296,11 @@ def links_of(score: Score, least: float, check: Check):
         if not found:
             return None
         i, j, _ = ordered(cid, *(np.concatenate(x) for x in zip(*found)))
+        bucket, buckets = column(batch, "bucket").to_pylist(), [*map(frozenset, column(batch, "buckets").to_pylist())]
+        mine = np.fromiter((bucket[x] == min(buckets[x] & buckets[y]) for x, y in zip(i.tolist(), j.tolist())), bool, len(i))
+        i, j = i[mine], j[mine]
+        if not len(i):
+            return None
         body, links, extra = column(batch, "body"), [], 0
         while len(i):
             pick = np.union1d(best_of_each(root, i, j), np.arange(min(extra, len(i))))
@@ -314,7 +327,7 @@ def checked(check: Check, body: pa.Array, i: np.ndarray, j: np.ndarray) -> np.nd
 def tested(check: Check):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+            for part in chunks([batch], "at", CHECKED):
                 ok = check(column(part, "at").to_pylist(), column(part, "bt").to_pylist())
                 yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
