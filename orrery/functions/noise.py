@@ -5,9 +5,6 @@ A seed that others know gives no privacy: keep it secret where noise protects.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,16 +32,33 @@ def laplace(mu: Column | float, sigma: Column | float, u: Column, parameter: str
     return mu - b * F.signum(v) * F.ln(1 - 2 * F.abs(v))
 
 
-def gamma(df: DataFrame, shape: float, scale: float, seed_col: str, out: str) -> DataFrame:
-    """Gamma variates, the same for the same whole seed; numpy's generator, as Spark has no such function."""
+#: Tries of ``gamma_variate``; each is accepted in more than 19 of 20 cases.
+TRIES = 12
+
 
-    def draw(seeds: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
+def gamma_variate(shape: float, scale: float, seed: str, *keys: Column | str) -> Column:
+    """Gamma by Marsaglia and Tsang's squeeze of a cubed normal variate; the first try that is accepted counts.
+
+    Under shape 1, a variate of shape + 1 times a power of a uniform one.
+    """
+    if shape <= 0 or scale <= 0:
+        raise ValueError("shape and scale must be positive")
+    d = (shape if shape >= 1 else shape + 1) - 1 / 3
+    c = 1 / (9 * d) ** 0.5
+    found = []
+    for t in range(TRIES):
+        u1, u2, u3 = (uniform(seed, *keys, f"{t}{x}") for x in "abc")
+        normal = F.sqrt(-2 * F.ln(u1)) * F.cos(2 * F.lit(3.141592653589793) * u2)
+        root = 1 + c * normal
+        v = root * root * root
+        found.append(F.when((root > 0) & (F.ln(u3) < 0.5 * normal * normal + d - d * v + d * F.ln(F.when(root > 0, v).otherwise(1.0))), d * v))
+    out = F.coalesce(*found, F.lit(d)) * scale  # all tries fail in fewer than one of 10^15 rows
+    return out if shape >= 1 else out * F.pow(uniform(seed, *keys, "power"), F.lit(1 / shape))
 
-        for s in seeds:
-            yield pd.Series([float(np.random.Generator(np.random.PCG64(int(x))).gamma(shape, scale)) for x in s], dtype="float64")
 
-    return df.withColumn(out, F.pandas_udf(draw, "double")(F.abs(F.col(seed_col)).cast("long")))
+def gamma(df: DataFrame, shape: float, scale: float, seed_col: str, out: str) -> DataFrame:
+    """Gamma variates, the same for the same whole seed."""
+    return df.withColumn(out, gamma_variate(shape, scale, "gamma", F.col(seed_col).cast("long")))
 
 
 def pdf_to_cdf(df: DataFrame, value: str, order: str, groups: int = 256) -> DataFrame:

@@ -139,15 +139,20 @@ def seeded(points: DataFrame, k: int, seed: str, parity: bool = False, block: in
     return dict(enumerate(chosen))
 
 
-def noisy_index(x: Column, centroids: dict[int, float], epsilon: float, seed: str, *keys: Column) -> Column:
-    """Report-noisy-min: the centroid whose distance plus Laplace noise of deviation 2 * spread / epsilon is smallest, the lowest of equals."""
+def noisy_distances(x: Column, centroids: dict[int, float], epsilon: float, seed: str, *keys: Column) -> Column:
+    """An array of (c, distance, noise): of each centroid its distance and the Laplace noise of deviation 2 * spread / epsilon."""
     if epsilon <= 0:
         raise ValueError("epsilon must be positive")
     order = sorted(centroids)
     away = [F.abs(x - F.lit(float(centroids[c]))) for c in order]
     spread = (F.greatest(*away) - F.least(*away)) if len(away) > 1 else F.lit(0.0)
-    noisy = [d + laplace(0.0, spread * (2.0 / epsilon), uniform(seed, *keys, str(c))) for d, c in zip(away, order)]
-    return F.array_min(F.array(*[F.struct(v.alias("v"), F.lit(c).alias("c")) for v, c in zip(noisy, order)]))["c"]
+    noise = [laplace(0.0, spread * (2.0 / epsilon), uniform(seed, *keys, str(c))) for c in order]
+    return F.array(*[F.struct(F.lit(c).alias("c"), d.alias("distance"), n.alias("noise")) for c, d, n in zip(order, away, noise)])
+
+
+def noisy_index(x: Column, centroids: dict[int, float], epsilon: float, seed: str, *keys: Column) -> Column:
+    """Report-noisy-min: the centroid whose distance plus noise is smallest, the lowest of equals."""
+    return F.array_min(F.transform(noisy_distances(x, centroids, epsilon, seed, *keys), lambda k: F.struct((k["distance"] + k["noise"]).alias("v"), k["c"].alias("c"))))["c"]
 
 
 def single(points: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from ..sources.files import edge_list, point_file, write_edge_list
 from ..sources.trade import price_points, read, trade_graph, trade_graph_numbered
 from . import oracle as o
 from .private import PrivacyConfig, private_pagerank
-from .superstep import run_program, started
+from .superstep import GraphEngine, run_program, started
 
 STEPS, K, BOUND, SEED = 10, 4, 0.5, "orrery"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,6 +191,17 @@ def salsa_scores(spark, d):
     return run_program(trade_graph(spark, d), salsa(), STEPS).select("id", F.round("authority", 6).alias("authority"), F.round("hub", 6).alias("hub"))
 
 
+@query(f"{SALSA} SELECT id, round(last_change_a, 6) AS last_change_a, round(last_change_h, 6) AS last_change_h FROM h4")
+def salsa_change(spark, d):
+    return run_program(trade_graph(spark, d), salsa(), 4).select("id", F.round("last_change_a", 6).alias("last_change_a"), F.round("last_change_h", 6).alias("last_change_h"))
+
+
+@query(f"{RANKS} SELECT id, round(rank, 6) AS rank FROM r5")
+def engine_run(spark, d):
+    """Dispatch by the algorithm's name."""
+    return GraphEngine(spark).run(trade_graph(spark, d), "pagerank", iterations=5).select("id", F.round("rank", 6).alias("rank"))
+
+
 # ---------------------------------------------------------------- noise
 
 
@@ -213,10 +224,16 @@ def laplace_noise(spark, d):
     return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.round(noise.laplace(1.0, 2.0, noise.uniform(SEED, F.col("c_custkey"))), 6).alias("noise"))
 
 
-@query()
+@query(f"SELECT c_custkey AS id, round({o.laplace('1.0::DOUBLE', '2.0::DOUBLE', '(' + u('c_custkey') + ')', '1.0::DOUBLE')}, 6) AS noise FROM customer")
+def laplace_noise_scale(spark, d):
+    """The textbook form: 2 is the scale, not the deviation."""
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.round(noise.laplace(1.0, 2.0, noise.uniform(SEED, F.col("c_custkey")), parameter="scale"), 6).alias("noise"))
+
+
+@query(f"SELECT c_custkey AS id, round({o.gamma(2.0, 1.5, 'c_custkey')}, 6) AS noise FROM customer")
 def gamma_noise(spark, d):
-    """Another library's generator can't be had in SQL; tests check that seeds fix it, and its moments."""
-    return noise.gamma(read(spark, d, "customer").select(F.col("c_custkey").alias("id")), 2.0, 1.5, "id", "noise")
+    out = noise.gamma(read(spark, d, "customer").select(F.col("c_custkey").alias("id")), 2.0, 1.5, "id", "noise")
+    return out.withColumn("noise", F.round("noise", 6))
 
 
 CDF = "SELECT p_partkey AS id, sum(p_size) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) / (sum(p_size) OVER ())::DOUBLE AS cdf FROM part"
@@ -258,6 +275,28 @@ def kmeans_seeding(spark, d):
     return spark.createDataFrame(rows, "c int, x double").select("c", F.round("x", 6).alias("x"))
 
 
+@query(f"WITH {o.POINTS}, {o.seeding(K, SEED, True)} SELECT c, round(x, 6) AS x FROM s{K - 1}")
+def kmeans_seeding_parity(spark, d):
+    """Seeding to which the value 0 counts as used."""
+    rows = [(c, x) for c, x in km.seeded(price_points(spark, d), K, SEED, parity=True).items()]
+    return spark.createDataFrame(rows, "c int, x double").select("c", F.round("x", 6).alias("x"))
+
+
+@query(f"WITH {GROUPED}, {o.seeding(K, SEED)}, {o.lloyd('k', 'gp', f'SELECT 0 AS group_id, c, x FROM s{K - 1}', SIGMA, SEED, 0.0, BOUND)} SELECT c, n, round(x, 4) AS x FROM k5")
+def kmeans_whole(spark, d):
+    """Clipping, seeding and five noisy rounds in one call."""
+    return centroids(spark, km.kmeans(price_points(spark, d), K, 0.0, BOUND, 1.0, SEED))
+
+
+FAR = {0: 0.05, 1: 0.2, 2: 9.0}
+
+
+@query(f"WITH {GROUPED}, {o.lloyd('k', 'gp', 'SELECT * FROM (VALUES ' + ', '.join(f'(0, {c}, {x}::DOUBLE)' for c, x in FAR.items()) + ') t(group_id, c, x)', 0.0, SEED, 0.0, BOUND)} SELECT c, n, round(x, 4) AS x FROM k5")
+def kmeans_dead_cluster(spark, d):
+    """A centroid that no point is nearest to is dropped."""
+    return centroids(spark, km.lloyd(km.single(price_points(spark, d)), {0: FAR}, 0.0, BOUND, 0.0, SEED))
+
+
 def clusters(spark, d, sigma):
     return km.lloyd(km.single(price_points(spark, d)), {0: km.even(K, 0.0, BOUND)}, 0.0, BOUND, sigma, SEED)
 
@@ -300,6 +339,19 @@ def noisy_index(spark, d):
     return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), km.noisy_index(x, CENTERS, 1.0, SEED, F.col("c_custkey")).alias("c"))
 
 
+@query(
+    "WITH m AS (SELECT c_custkey AS id, least(greatest(c_acctbal / 20000.0::DOUBLE, 0.0::DOUBLE), 0.5::DOUBLE) AS x FROM customer), "
+    "k AS (SELECT * FROM (VALUES " + ", ".join(f"({c}, {x}::DOUBLE)" for c, x in CENTERS.items()) + ") t(c, v)), "
+    "w AS (SELECT id, c, abs(x - v) AS d, max(abs(x - v)) OVER (PARTITION BY id) - min(abs(x - v)) OVER (PARTITION BY id) AS spread FROM m, k) "
+    f"SELECT id, c, round(d, 9) AS distance, round({o.laplace('0.0', 'spread * 2.0', '(' + u('id', 'c') + ')')}, 6) AS noise FROM w"
+)
+def noisy_index_parts(spark, d):
+    """The distances and noises that the noisy choice is made of."""
+    x = clamped(F.col("c_acctbal") / F.lit(20000.0), 0.0, BOUND)
+    parts = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.explode(km.noisy_distances(x, CENTERS, 1.0, SEED, F.col("c_custkey"))).alias("k"))
+    return parts.select("id", "k.c", F.round("k.distance", 9).alias("distance"), F.round("k.noise", 6).alias("noise"))
+
+
 # ---------------------------------------------------------------- data centers
 
 

@@ -23,9 +23,21 @@ def uniform(*keys: str) -> str:
     return f"((('0x' || substr(md5(concat_ws('|', {', '.join(keys)})), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0"
 
 
-def laplace(mu: str, sigma: str, u: str) -> str:
+def laplace(mu: str, sigma: str, u: str, divisor: str = "sqrt(2.0::DOUBLE)") -> str:
     v = f"({u} - 0.5)"
-    return f"({mu} - ({sigma}) / sqrt(2.0::DOUBLE) * sign{v} * ln(1 - 2 * abs{v}))"
+    return f"({mu} - ({sigma}) / {divisor} * sign{v} * ln(1 - 2 * abs{v}))"
+
+
+def gamma(shape: float, scale: float, key: str, tries: int = 12) -> str:
+    """Marsaglia and Tsang's method, for shapes from 1 on."""
+    d = shape - 1 / 3
+    cases = []
+    for t in range(tries):
+        u1, u2, u3 = (uniform("'gamma'", key, f"'{t}{x}'") for x in "abc")
+        normal = f"(sqrt(-2 * ln({u1})) * cos(2 * 3.141592653589793::DOUBLE * {u2}))"
+        root = f"(1 + {1 / (9 * d) ** 0.5}::DOUBLE * {normal})"
+        cases.append(f"WHEN {root} > 0 AND ln({u3}) < 0.5 * pow({normal}, 2) + {d}::DOUBLE - {d}::DOUBLE * pow({root}, 3) + {d}::DOUBLE * 3 * ln(greatest({root}, 1e-300::DOUBLE)) THEN {d}::DOUBLE * pow({root}, 3)")
+    return f"({scale}::DOUBLE * CASE {' '.join(cases)} ELSE {d}::DOUBLE END)"
 
 
 def ranks(steps: int, personal: bool) -> str:
@@ -82,7 +94,7 @@ def even(k: int, low: float, high: float, groups: int = 1) -> str:
     return f"SELECT * FROM (VALUES {rows}) t(group_id, c, x)"
 
 
-def seeding(k: int, seed: str) -> str:
+def seeding(k: int, seed: str, parity: bool = False) -> str:
     """CTEs s0 ... of (c, x): a random point, then the first point by id where the running squared distance reaches a random share of the total."""
     out = [f"s0 AS MATERIALIZED (SELECT 0 AS c, x FROM points WHERE id = (SELECT least(count(*) - 1, CAST(floor({uniform(f"'{seed}'", "'seed'", '0')} * count(*)) AS BIGINT)) FROM points))"]
     for i in range(1, k):
@@ -90,7 +102,7 @@ def seeding(k: int, seed: str) -> str:
         out.append(f"c{i} AS MATERIALIZED (SELECT id, x, sum(d) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS run FROM d{i})")
         out.append(
             f"s{i} AS MATERIALIZED (SELECT * FROM s{i - 1} UNION ALL SELECT {i}, x FROM (SELECT x FROM c{i} WHERE run >= {uniform(f"'{seed}'", "'seed'", str(i))} * (SELECT sum(d) FROM d{i}) "
-            f"AND x NOT IN (SELECT x FROM s{i - 1}) ORDER BY id LIMIT 1))"
+            f"AND x NOT IN (SELECT x FROM s{i - 1}) {'AND x <> 0' if parity else ''} ORDER BY id LIMIT 1))"
         )
     return ", ".join(out)
 

@@ -77,8 +77,8 @@ class GraphEngine:
             raise ValueError(f"unknown algorithm {algorithm!r}; known are {', '.join(PROGRAMS)}")
         if method == "pregel":
             return run_program(graph, PROGRAMS[algorithm](), iterations, **options)
-        if method == "cfdgraph":
+        if method == "private":
             if algorithm != "pagerank":
                 raise ValueError("the private method is implemented for pagerank")
             return private_pagerank(graph, privacy, iterations, **options)
-        raise ValueError(f"unknown method {method!r}; known are pregel, cfdgraph")
+        raise ValueError(f"unknown method {method!r}; known are pregel, private")

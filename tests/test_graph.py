@@ -145,9 +145,9 @@ def test_engine(spark):
     g = graph(spark, 6, [(i, (i + k) % 6) for i in range(6) for k in (1, 2)])
     engine = GraphEngine(spark)
     assert engine.run(g, "pagerank", 2).count() == 6
-    a, b = (state(engine.run(g, "pagerank", 2, method="cfdgraph", privacy=PrivacyConfig(budget=50.0)), "rank") for _ in range(2))
+    a, b = (state(engine.run(g, "pagerank", 2, method="private", privacy=PrivacyConfig(budget=50.0)), "rank") for _ in range(2))
     assert a == b
-    for bad in (("sssp", "pregel"), ("pagerank", "other"), ("hits", "cfdgraph")):
+    for bad in (("sssp", "pregel"), ("pagerank", "other"), ("hits", "private")):
         with pytest.raises(ValueError):
             engine.run(g, bad[0], 1, bad[1])
     with pytest.raises(ValueError):
@@ -158,5 +158,5 @@ def test_private_leaves_messages_within_a_center_alone(spark):
     vertices = spark.createDataFrame([(i, 3, False) for i in range(4)], "id long, location_id int, is_seed boolean")
     g = Graph(vertices, spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 0)], "src long, dst long"))
     exact = state(run_program(g, pagerank(), 2), "rank")
-    close = state(GraphEngine(spark).run(g, "pagerank", 2, method="cfdgraph", privacy=PrivacyConfig()), "rank")
+    close = state(GraphEngine(spark).run(g, "pagerank", 2, method="private", privacy=PrivacyConfig()), "rank")
     assert all(close[i][0] == pytest.approx(exact[i][0]) for i in range(4))
