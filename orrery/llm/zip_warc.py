@@ -100,14 +100,19 @@ def parse(raw: bytes) -> dict:
     return {"warc": fields, "http": headers(http), "payload": payload}
 
 
-def gzip_members(raw: bytes) -> Iterator[bytes]:
-    while raw:
-        z = zlib.decompressobj(wbits=31)
-        data = z.decompress(raw) + z.flush()
-        if not z.eof:
-            raise ValueError("a gzip member is cut off")
-        yield data
-        raw = z.unused_data
+def gzip_members(raw: bytes, step: int = 1 << 14) -> Iterator[bytes]:
+    """Each member's content; read in steps, so that what follows a member is copied by a step at most."""
+    view, at = memoryview(raw), 0
+    while at < len(raw):
+        z, parts = zlib.decompressobj(wbits=31), []
+        while not z.eof:
+            if at >= len(raw):
+                raise ValueError("a gzip member is cut off")
+            piece = view[at : at + step]
+            parts.append(z.decompress(piece))
+            at += len(piece)
+        at -= len(z.unused_data)
+        yield b"".join(parts)
 
 
 # ---------------------------------------------------------------- writing
@@ -286,8 +291,9 @@ def read_packages(spark: SparkSession, packages: DataFrame) -> DataFrame:
 
     paths = packages.select("path").repartition(max(1, spark.sparkContext.defaultParallelism))
     ranges = paths.mapInArrow(plan, "path string, start long, length long")
-    # dealt anew, as packages differ in size
-    return ranges.repartition("path", "start").mapInArrow(read, "key long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    # dealt anew, as packages differ in size; a number of tasks is given, as few bytes of ranges mean much to read
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return ranges.repartition(tasks, "path", "start").mapInArrow(read, "key long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 READ = pa.schema([("key", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
