@@ -31,39 +31,64 @@ from pyspark.sql import functions as F
 
 from ._shared import checkpointed, chunks, strings
 
-#: The split pattern of the vocabulary file; text is put in lower case and loses its white space.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
-#: Texts with these go to the library whole: special strings, and characters whose handling depends on Unicode tables.
-RARE = regex.compile(r"<\||[^\u0000-įı-ɏ‐-‧€]")
-MEMORY = 500_000
+#: Texts with these go to the library whole: special strings, white space on which tables disagree, and characters whose handling depends on Unicode versions.
+ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+RARE = regex.compile(r"[^\u0000-įı-ɏ‐-‧€]")
+MARKS = ".,;:!?)]\""
+MEMORY = 1_000_000
+
+
+def plain(text: str) -> bool:
+    """Whether lower case and splitting at white space do to a text what the library does."""
+    if any(x in text for x in ODD):
+        return False
+    try:
+        text.encode("latin-1")  # much faster than a pattern, and true of most texts
+        return True
+    except UnicodeEncodeError:
+        return not RARE.search(text)
 
 
 class WordIds:
-    """Ids by the ``tokenizers`` library for a file that encodes word by word; known words are looked up."""
+    """Ids by the ``tokenizers`` library for a file that puts text in lower case and encodes word by word.
+
+    Merges never cross white space, so what stands between white space is
+    encoded once, by the library, and looked up from then on.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.split = regex.compile(PATTERN).findall
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if RARE.search(text):
-            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = self.split(text.lower())
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            new = [*{w for w in words if w not in self.known}]
-            if len(self.known) + len(new) > MEMORY:
-                self.known.clear()
-                new = [*set(words)]
-            for w, got in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-                self.known[w] = np.asarray(got.ids, "<u4").tobytes()
-            return b"".join(map(self.known.__getitem__, words))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        simple = [plain(t) for t in texts]
+        lists = [t.lower().split() if ok else [] for t, ok in zip(texts, simple)]
+        new = {w for words in lists for w in words}.difference(self.known)
+        if len(self.known) + 2 * len(new) > MEMORY:
+            self.known.clear()
+            new = {w for words in lists for w in words}
+        parts = {w: parted(w) for w in new}
+        todo = [*{p for own in parts.values() for p in own}.difference(self.known)]
+        for w, got in zip(todo, self.library.encode_batch_fast(todo, add_special_tokens=False)):
+            self.known[w] = np.asarray(got.ids, "<u4").tobytes()
+        for w, own in parts.items():
+            if len(own) > 1:
+                self.known[w] = b"".join([self.known[p] for p in own])
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) if ok else np.asarray(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, ok, words in zip(texts, simple, lists)]
+
+
+def parted(word: str) -> tuple[str, ...]:
+    """A word and the marks at its end, between which the library always splits."""
+    core = word.rstrip(MARKS)
+    return (core, word[len(core) :]) if core != word and core and core[-1].isalnum() else (word,)
 
 
 @lru_cache(maxsize=2)
@@ -75,11 +100,11 @@ def tokenized_pieces(docs: DataFrame, path: str, limit: int, end_id: int = 0, id
     """One row per piece of at most ``limit`` tokens: id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_ids(path).encode, np.asarray([end_id], "<u4").tobytes()
+        encode, end = word_ids(path).encode_all, np.asarray([end_id], "<u4").tobytes()
         for batch in chunks(batches, "text"):
             rows = []
-            for i, text in enumerate(strings(batch, "text")):
-                ids = encode(text) + end
+            for i, ids in enumerate(encode(strings(batch, "text"))):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[at : at + 4 * limit]
                     rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
