@@ -96,11 +96,14 @@ def link(members: DataFrame, sigs: DataFrame, score: Score, least: float, bodies
     released(spark)
     pairs = stored(trees.where("b is not null").select("a", "b").distinct())
     split = trees.where("b is null").select("bucket", F.col("a").alias("cid"))
-    bodies = stored(bodies_of(stored(pairs.select(F.explode(F.array("a", "b")).alias("cid")).union(split.select("cid")).distinct())))
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("cid")).union(split.select("cid")).distinct())
+    bodies = stored(bodies_of(wanted))
+    released(spark)
     both = pairs.join(bodies.select(F.col("cid").alias("b"), F.col("body").alias("bt")), "b")
     both = both.join(bodies.select(F.col("cid").alias("a"), F.col("body").alias("at")), "a")
     good = stored(both.select("a", "b", "at", "bt").mapInArrow(tested(check), "a long, b long"))
-    discarded(pairs)
+    discarded(pairs, wanted)
+    released(spark)
     comps = connected_components(good)
     several = trees.where("b is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("links")).where("links > 1").select("bucket")
     seen = trees.where("b is not null").join(several, "bucket").select("bucket", F.explode(F.array("a", "b")).alias("cid")).union(split).distinct()

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -185,16 +185,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     return out.select("doc_id", F.lower(F.hex("h")).alias("text_md5"), "class_id", "class_size", "n_copies", (F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("stays")).alias("kept"))
 
 
+def keyed(id_col: str, digest: Column) -> Column:
+    """One string of id and digest, so that a join by it and a choice of one row for each need the same shuffle."""
+    return F.concat_ws("|", F.col(id_col).cast("long").cast("string"), digest)
+
+
 def texts_of(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """(cid, body) of the named nodes, a row each; texts are shuffled once to find them."""
-    wanted = named.select("cid", F.col("doc_id").alias("_id"), "h")
-    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).where(F.unhex(F.md5("text")) == F.col("h"))
-    return found.select("cid", F.col("text").alias("body")).dropDuplicates(["cid"])
+    """(cid, body) of the named nodes, a row each; the texts of all rows are shuffled once to find them."""
+    wanted = named.select("cid", keyed("doc_id", F.lower(F.hex("h"))).alias("wanted"))
+    found = rows.select(keyed("doc_id", F.md5("text")).alias("key"), "text").join(wanted, F.col("key") == F.col("wanted"))
+    return found.dropDuplicates(["key"]).select("cid", F.col("text").alias("body"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, one of each class, with all their columns, whatever their names."""
-    key = lambda i, h: F.concat_ws("|", F.col(i).cast("long").cast("string"), h)
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).where("kept").select(key("doc_id", F.col("text_md5")).alias("kept"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key(f"`{id_col}`", F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("key"))
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).where("kept").select(keyed("doc_id", F.col("text_md5")).alias("kept"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), keyed(f"`{id_col}`", F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("key"))
     return rows.join(kept, F.col("key") == F.col("kept"), "left_semi").dropDuplicates(["key"]).select("row.*")
