@@ -8,13 +8,15 @@ unit scores the window; the score of a text is that of its worst window, so all
 of a long text counts.  In training, each document teaches by its worst window.
 
 The network is fitted on the driver on a bounded sample: at most ``most_rows``
-labelled documents of a class and ``most_words`` words.  Its weights (some
+labelled documents of a class (twice as many clean ones) of ``most_chars``
+characters; longer ones are passed over for the next.  Its weights (some
 hundred kB, bounded by the vocabulary) go to the executors with the task, and
 each text is scored where it is read: no shuffle.
 
 Defined results: a null or empty text is one window without words and gets the
 score of the bias; without labels of both classes every score is the share of
-toxic labels (0.5 without labels); rows that repeat a document repeat its
+toxic labels (0.5 without labels); a document with several labels is toxic if
+one says so; rows that repeat a document repeat its
 score; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -39,6 +41,8 @@ WINDOW, STRIDE = 48, 24
 HIDDEN, EMBEDDING, ATTENTION = 12, 12, 12
 TRIGRAMS, VOCABULARY, LEAST_COUNT = 4096, 8192, 3
 MEMORY = 150_000
+#: Documents of the prior that smooth a word's log odds, shares of word and character inputs dropped in training, decay of embeddings.
+SMOOTH, WORD_DROP, CHAR_DROP, DECAY = 4, 0.1, 0.5, 0.02
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -66,6 +70,7 @@ class Words:
     ids: np.ndarray
     grams: np.ndarray
     sizes: np.ndarray
+    drop: np.ndarray | None = None  # in training: which of a word's two inputs are left
 
     @staticmethod
     def of(words: list[str], vocabulary: dict[str, int]) -> Words:
@@ -104,7 +109,10 @@ class Network:
         if not len(words.sizes):
             return np.zeros((0, 2 * EMBEDDING), np.float32)
         means = np.add.reduceat(self.weights["chars"][words.grams], np.cumsum(words.sizes) - words.sizes, axis=0) / words.sizes[:, None]
-        return np.hstack([self.weights["words"][words.ids], means]).astype(self.weights["words"].dtype)
+        own = self.weights["words"][words.ids]
+        if words.drop is not None:
+            own, means = own * words.drop[:, :1], means * words.drop[:, 1:]
+        return np.hstack([own, means]).astype(self.weights["words"].dtype)
 
     def projected(self, x: np.ndarray) -> np.ndarray:
         """What both directions take from a word's input, one row per word; a last row for padding."""
@@ -182,6 +190,8 @@ class Network:
         for d, part in (("f", d_p[:, : 3 * HIDDEN]), ("b", d_p[:, 3 * HIDDEN :])):
             g[f"{d}_x"], g[f"{d}_b"] = x.T @ part, part.sum(axis=0)
             d_in += part @ w[f"{d}_x"].T
+        if words.drop is not None:
+            d_in *= np.repeat(words.drop, EMBEDDING, axis=1)
         np.add.at(g["words"], words.ids, d_in[:, :EMBEDDING])
         np.add.at(g["chars"], words.grams, np.repeat(d_in[:, EMBEDDING:] / words.sizes[:, None], words.sizes, axis=0))
         return g
@@ -226,16 +236,37 @@ def windows(ids: list[np.ndarray], padding: int) -> tuple[np.ndarray, np.ndarray
     return at, real.astype(np.float32), owner
 
 
+def odds(lists: list[list[str]], y: np.ndarray) -> dict[str, float]:
+    """Smoothed log odds of a toxic document among those with a word, for words of LEAST_COUNT documents, relative to the prior."""
+    toxic, all_ = Counter(), Counter()
+    for words, label in zip(lists, y):
+        own = set(words)
+        all_.update(own)
+        if label > 0:
+            toxic.update(own)
+    prior = float(y.mean())
+    logit = lambda p: float(np.log(p / (1 - p)))
+    return {w: logit((toxic[w] + SMOOTH * prior) / (n + SMOOTH)) - logit(prior) for w, n in all_.items() if n >= LEAST_COUNT}
+
+
 def trained(texts: list[str], labels: list[int], epochs: int = 6, least_steps: int = 500, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Network:
-    """Adam on the logistic loss of each document's worst window (a random one in the first pass)."""
+    """Adam on the logistic loss of each document's worst window.
+
+    Few labelled documents are soon known by heart, by their rare words and
+    trigrams.  Against that, the first coordinate of a word's embedding starts
+    at the word's log odds (which also choose the window of the first pass),
+    inputs are dropped at random, and embeddings decay.
+    """
     y = np.asarray(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return Network({}, {}, prior=float(y.mean()) if len(y) else 0.5)
     lists = [words_of(t) for t in texts]
-    counts = Counter(w for t in lists for w in t)
-    common = sorted((w for w in counts if counts[w] >= LEAST_COUNT), key=lambda w: (-counts[w], w))[:VOCABULARY]
+    start = odds(lists, y)
+    common = sorted(start, key=lambda w: (-abs(start[w]), w))[:VOCABULARY]
     net = Network.fresh({w: i + 1 for i, w in enumerate(common)}, seed)
-    every = {w: i for i, w in enumerate(counts)}
+    net.weights["words"] *= 0.1
+    net.weights["words"][:, 0] = [0.0, *(start[w] for w in common)]
+    every = {w: i for i, w in enumerate(dict.fromkeys(w for t in lists for w in t))}
     lexicon = Words.of([*every], net.vocabulary)
     numbers = [np.asarray([every[w] for w in t], np.int64) for t in lists]
     epochs = max(epochs, -(-least_steps // -(-len(y) // batch)))
@@ -254,15 +285,22 @@ def trained(texts: list[str], labels: list[int], epochs: int = 6, least_steps: i
             own = np.split(flat, np.cumsum([len(numbers[k]) for k in pick])[:-1])
             words = lexicon.some(used)
             at, mask, owner = windows(own, len(used))
-            z = rng.random(len(at)) if epoch == 0 else net.logits(net.projected(net.inputs(words)), at, mask)
+            if epoch == 0:
+                z = np.append(net.weights["words"][words.ids, 0], -np.inf)[at].max(axis=1)
+            else:
+                z = net.logits(net.projected(net.inputs(words)), at, mask)
             worst = np.lexsort((z, owner))[np.searchsorted(owner, np.arange(len(pick)), side="right") - 1]
+            words.drop = (rng.random((len(used), 2)) >= (WORD_DROP, CHAR_DROP)).astype(np.float32)
             grads = net.gradients(words, at[worst], mask[worst], y[pick], balance[pick])
             step += 1
             now = rate * (1 - step / (steps + 1))
             for k, g in grads.items():
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.01 * (g * g - second[k])
-                net.weights[k] -= (now * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                move = now * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
+                if k in ("words", "chars"):
+                    move[:, int(k == "words") :] += now * DECAY * net.weights[k][:, int(k == "words") :]
+                net.weights[k] -= move.astype(np.float32)
     return net
 
 
@@ -271,24 +309,28 @@ def remainder(id_col: str) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(4))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, most_words: int, id_col: str, text_col: str, label_col: str) -> list[tuple[str, int]]:
-    """At most ``most_rows`` documents per class (twice as many clean ones) of at most ``most_words`` words, by the order of a digest of their ids."""
-    usable = labels.where(remainder(id_col) != 2).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
+def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, most_chars: int, id_col: str, text_col: str, label_col: str) -> list[tuple[str, int]]:
+    """At most ``most_rows`` documents per class (twice as many clean ones) of at most ``most_chars`` characters, by the order of a digest of their ids."""
+    # several labels of a document: toxic if one of them says so
+    usable = labels.where(remainder(id_col) != 2).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("_doc"), text.alias("_text")).where(F.length("_text") <= most_chars)
+    fitting = usable.join(texts.select(F.col("_doc").alias("_id")), "_id", "left_semi")
     order = F.md5(F.concat_ws("|", F.lit("train"), F.col("_id").cast("string")))
     picked = None
     for y, n in ((1, most_rows), (0, 2 * most_rows)):
-        part = usable.where(F.col("_y") == y).orderBy(order, "_id").limit(n)
+        part = fitting.where(F.col("_y") == y).orderBy(order, "_id").limit(n)
         picked = part if picked is None else picked.union(part)
     # the picked ids are at most 3 x most_rows, so this side may be broadcast
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.select(F.col(id_col).alias("_doc"), text.alias("_text")).join(F.broadcast(picked.dropDuplicates(["_id"])), F.col("_doc") == F.col("_id"))
-    rows = found.where(F.size(F.split("_text", r"\s+")) <= most_words).select("_doc", "_text", "_y").limit(3 * most_rows).collect()
+    found = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id"))
+    # an id may come with several texts, so rows are bounded again, in a fixed order
+    rows = found.select("_doc", "_text", "_y").orderBy(F.md5(F.col("_doc").cast("string")), F.xxhash64("_text")).limit(3 * most_rows).collect()
     return [(r["_text"], r["_y"]) for r in sorted(rows, key=lambda r: (r["_doc"], r["_text"]))]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = 800, most_words: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = 800, most_chars: int = 40_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    rows = training_rows(docs, labels, most_rows, most_words, id_col, text_col, label_col)
+    rows = training_rows(docs, labels, most_rows, most_chars, id_col, text_col, label_col)
     net = trained([t for t, _ in rows], [y for _, y in rows])
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -569,6 +569,68 @@ def test_gradients():
         assert (high - low) / 2e-3 == pytest.approx(grads[k][i], rel=1e-2, abs=1e-5), k
 
 
+def plain_score(net, text):
+    """A text's score, word by word and window by window, with numpy on single vectors only."""
+    w, words = net.weights, toxicity.words_of(text)
+    squash = lambda v: 1 / (1 + np.exp(-v))
+
+    def given(word):
+        grams = [w["chars"][g] for g in toxicity.trigrams(word)]
+        return np.concatenate([w["words"][net.vocabulary.get(word, 0)], sum(grams) / len(grams)])
+
+    def read(xs, d):
+        h, out = np.zeros(toxicity.HIDDEN), []
+        for x in xs:
+            a, u = np.split(x @ w[d + "_x"] + w[d + "_b"], 3), np.split(h @ w[d + "_h"], 3)
+            z, g = squash(a[0] + u[0]), squash(a[1] + u[1])
+            h = z * h + (1 - z) * np.tanh(a[2] + g * u[2])
+            out.append(h)
+        return out
+
+    best, start = -np.inf, 0
+    while True:
+        xs = [given(x) for x in words[start : start + toxicity.WINDOW]]
+        logit = w["out_b"][0]
+        if xs:
+            states = [np.concatenate(p) for p in zip(read(xs, "f"), read(xs[::-1], "b")[::-1])]
+            e = np.exp([np.tanh(s @ w["att_w"] + w["att_b"]) @ w["att_v"] for s in states])
+            logit = logit + sum(k * s for k, s in zip(e / e.sum(), states)) @ w["out_w"]
+        best = max(best, logit)
+        if start + toxicity.WINDOW >= len(words):
+            return squash(best)
+        start += toxicity.STRIDE
+
+
+def test_toxicity_scores_word_by_word():
+    rng = random.Random(5)
+    words = ["mud", "sea", "lamp", "Ürn", "(oak)", "x", "..."]
+    texts = ["", " \n", "mud", *(" ".join(rng.choices(words, k=k)) for k in (2, 47, 48, 49, 72, 73, 96, 97, 500))]
+    net = toxicity.Network.fresh({w: i + 1 for i, w in enumerate(words[:5])}, 3)
+    assert np.allclose(net.scores(texts), [plain_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_toxicity_on_few_labels(spark):
+    """sf0.01 labels 37 toxic documents outside the held-out quarter, and 14 in it."""
+    from orrery.llm.queries import QUERIES
+
+    at = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    name = next(n for n in QUERIES if n.startswith("op8_"))
+    held = [r for r in QUERIES[name](spark, at).collect() if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    caught = sum(r["predicted"] for r in held if labels[r["doc_id"]])
+    wrong = sum(r["predicted"] for r in held if not labels[r["doc_id"]])
+    assert caught >= 8 and wrong <= 4
+
+
+def test_toxicity_sample_passes_over_long_texts(spark):
+    rows = [(i, "a " * (50_000 if i % 2 else 3) + str(i)) for i in range(80)] + [(4, "another text of four")]
+    labels = spark.createDataFrame([(i, 1, y) for i in range(80) for y in ((0, 1) if i == 4 else (i % 3 // 2,))], "doc_id long, quality int, toxic int")
+    got = toxicity.training_rows(docs(spark, rows), labels, 5, 40_000, "doc_id", "text", "toxic")
+    assert all(len(t) <= 40_000 for t, _ in got)
+    assert sum(y for _, y in got) >= 5 and sum(1 - y for _, y in got) >= 10
+    assert got == toxicity.training_rows(docs(spark, rows[::-1]).repartition(3), labels, 5, 40_000, "doc_id", "text", "toxic")
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(3)
     plain, bad = [f"w{i}" for i in range(200)], ["scumbag", "moronic"]
