@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpointed
+from ..checkpoints import checkpointed, partitioned
 from ..graph import Graph
 from ..operators.programs import PROGRAMS, VertexProgram
 from ..schema import Mode
@@ -29,11 +29,18 @@ def messages(edges: DataFrame, state: DataFrame, program: VertexProgram, backwar
     return sent.groupBy("to").agg(F.sum("value").alias("value"))
 
 
-def superstep(edges: DataFrame, state: DataFrame, program: VertexProgram) -> DataFrame:
+def laid_out(graph: Graph, program: VertexProgram) -> dict[str, DataFrame]:
+    """The edges, written once for each direction in use, partitioned by the sender: supersteps move state and messages, never edges."""
+    n = int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = [end for end, make in (("src", program.forward), ("dst", program.backward)) if make]
+    return {end: partitioned(graph.with_degrees(), n, end) for end in ends}
+
+
+def superstep(edges: dict[str, DataFrame], state: DataFrame, program: VertexProgram) -> DataFrame:
     out = state
-    for name, make in (("_f", program.forward), ("_b", program.backward)):
+    for name, make, sender in (("_f", program.forward, "src"), ("_b", program.backward, "dst")):
         if make:
-            got = messages(edges, state, program, name == "_b").withColumnsRenamed({"to": "_to" + name, "value": name})
+            got = messages(edges[sender], state, program, name == "_b").withColumnsRenamed({"to": "_to" + name, "value": name})
             out = out.join(got, F.col("id") == F.col("_to" + name), "left").drop("_to" + name).withColumn(name, F.coalesce(name, F.lit(0.0)))
     return out.withColumns(program.apply()).drop("_f", "_b")
 
@@ -44,7 +51,7 @@ def run_program(graph: Graph, program: VertexProgram, iterations: int, every: in
     ``tolerance`` ends the loop once no change is larger (one small aggregate a
     step); ``normalize`` scales authority and hub to unit length each step.
     """
-    edges, state = checkpointed(graph.with_degrees()), started(graph, program)
+    edges, state = laid_out(graph, program), started(graph, program)
     for step in range(1, iterations + 1):
         state = superstep(edges, state, program)
         if normalize:

@@ -160,3 +160,29 @@ def test_private_leaves_messages_within_a_center_alone(spark):
     exact = state(run_program(g, pagerank(), 2), "rank")
     close = state(GraphEngine(spark).run(g, "pagerank", 2, method="private", privacy=PrivacyConfig()), "rank")
     assert all(close[i][0] == pytest.approx(exact[i][0]) for i in range(4))
+
+
+def test_supersteps_do_not_shuffle_edges(spark):
+    from orrery.plans import superstep
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        graph = Graph.blank(spark, 50, spark.createDataFrame([(i, (i * 7 + 1) % 50) for i in range(50)], "src long, dst long"))
+        for name in ("pagerank", "hits"):
+            program = superstep.PROGRAMS[name]()
+            edges = superstep.laid_out(graph, program)
+            state = superstep.started(graph, program)
+            for _ in range(2):
+                state = superstep.superstep(edges, state, program)
+            lines = state._jdf.queryExecution().executedPlan().toString().split("\n")
+            scans = [i for i, line in enumerate(lines) if "ExistingRDD" in line and "out_degree" in line]
+            assert scans
+            # what stands above a scan of edges, up to the join, is no exchange
+            for i in scans:
+                above = lines[max(0, i - 4) : i]
+                joins = [k for k, line in enumerate(above) if "Join" in line]
+                assert joins and not any("Exchange" in line for line in above[joins[-1] :]), above
+    finally:
+        spark.conf.set(key, before)
