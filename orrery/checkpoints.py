@@ -28,10 +28,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def partitioned(df: DataFrame, n: int, by: str) -> DataFrame:
-    """Written out in n partitions by a column, which later joins know of: they don't shuffle it again."""
+    """A table that is written already, written out in n partitions by a column, which later joins know of: they don't shuffle it again."""
     spark, key = df.sparkSession, "spark.sql.adaptive.enabled"
     before = spark.conf.get(key)
-    df = checkpointed(df)
     # an adaptive plan doesn't tell how its rows are partitioned; here it has nothing to decide, as this is a mere shuffle
     spark.conf.set(key, "false")
     try:

@@ -33,7 +33,8 @@ def laid_out(graph: Graph, program: VertexProgram) -> dict[str, DataFrame]:
     """The edges, written once for each direction in use, partitioned by the sender: supersteps move state and messages, never edges."""
     n = int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ends = [end for end, make in (("src", program.forward), ("dst", program.backward)) if make]
-    return {end: partitioned(graph.with_degrees(), n, end) for end in ends}
+    edges = checkpointed(graph.with_degrees())
+    return {end: partitioned(edges, n, end) for end in ends}
 
 
 def superstep(edges: dict[str, DataFrame], state: DataFrame, program: VertexProgram) -> DataFrame:
