@@ -1,9 +1,10 @@
 """Embedding near-duplicates by an exact metric range join.
 
 Unit vectors are points of a metric space: cosine >= c is distance <= r with
-r = sqrt(2 - 2c).  Pivots, drawn from the vectors of a label in proportion to
-their number, partition the label: a vector is owned by the cell of its nearest
-pivot.  If y is owned by cell q and |x - y| <= r, the triangle inequality gives
+r = sqrt(2 - 2c).  Pivots, drawn from the vectors of a label, partition it: a
+vector is owned by the cell of its nearest pivot.  Their number grows with the
+square root of the label's vectors, so that replication, at worst a row per
+vector and pivot, stays small beside the comparisons.  If y is owned by cell q and |x - y| <= r, the triangle inequality gives
 d(x, q) <= d(x, p) + 2r for the own pivot p of x, and since y lies on q's side
 of the plane between p and q, also d(x, q)^2 - d(x, p)^2 <= 2 r d(p, q).  A
 vector that meets both is replicated to cell q.  Each cell then knows all that
@@ -35,8 +36,8 @@ from ._components import column, connected_components, matrix
 from ._shared import checkpointed
 
 COSINE = 0.93
-#: Vectors per pivot, most pivots of a label, vectors in a block.
-CELL, MOST_PIVOTS, BLOCK = 4096, 256, 2048
+#: Labels of fewer vectors have no pivots; the others one and one for each ROOT in the square root of their vectors.  Vectors in a block.
+LEAST, ROOT, BLOCK = 32, 32, 2048
 #: Allowance for rounding in distances; it only replicates more.
 SLACK = 1e-6
 
@@ -82,7 +83,10 @@ def trees(near: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     v = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), v.alias("v"))
+    label = F.col(label_col)
+    if vectors.schema[label_col].dataType.typeName() in ("float", "double"):
+        label = label + F.lit(0.0)  # -0.0 is 0.0
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), label.cast("string").alias("label"), v.alias("v"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     usable = F.coalesce(F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda c: c != 0), F.lit(False))
     tagged = rows.withColumn("digest", F.when(usable, F.unhex(F.md5(F.to_json(F.struct("v"))))))
@@ -126,12 +130,11 @@ def renewed(df: DataFrame) -> DataFrame:
 def links_within(nodes: DataFrame, cosine: float) -> DataFrame:
     """(node, near, links): link counts of each node by block (near is null), and trees of links (links is null)."""
     group = ["label", "dim"]
-    sizes = checkpointed(nodes.groupBy(*group).agg(F.count(F.lit(1)).alias("size")).withColumn("pivots", F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("size") / CELL)).cast("int")).withColumn("parts", F.ceil(F.col("size") / (4 * BLOCK)).cast("int")))
+    sizes = checkpointed(nodes.groupBy(*group).agg(F.count(F.lit(1)).alias("size")).withColumn("pivots", F.when(F.col("size") >= LEAST, 1 + F.ceil(F.sqrt("size") / ROOT)).otherwise(1).cast("int")).withColumn("parts", F.ceil(F.col("size") / (4 * BLOCK)).cast("int")))
     drawn = F.pmod(F.xxhash64("node", F.lit("pivot")), F.col("size")) < F.col("pivots")
-    # a label of one cell needs no pivots
+    # a label of one cell needs no pivots; where none happens to be drawn, the label is one cell
     pivots = nodes.join(sizes.where("pivots > 1"), group).where(drawn).select(*group, "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     parts = nodes.join(sizes, group).select(*group, "node", "n", "x", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int").alias("part"))
-    kind = nodes.schema["label"].dataType.simpleString()
 
     def assign(left: pa.Table, right: pa.Table) -> pa.Table:
         n = left.num_rows
@@ -146,10 +149,9 @@ def links_within(nodes: DataFrame, cosine: float) -> DataFrame:
         columns = [left[c].combine_chunks().take(take) for c in ("label", "dim", "node", "n", "x")]
         return pa.Table.from_arrays([columns[0], columns[1], pa.array(cell), pa.array(own[which] == cell), *columns[2:]], schema=assigned)
 
-    arrow_kind = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "smallint": pa.int16(), "tinyint": pa.int8(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_()}[kind]
-    assigned = pa.schema([("label", arrow_kind), ("dim", pa.int32()), ("cell", pa.int64()), ("owned", pa.bool_()), ("node", pa.int64()), ("n", pa.int64()), ("x", pa.binary())])
+    assigned = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cell", pa.int64()), ("owned", pa.bool_()), ("node", pa.int64()), ("n", pa.int64()), ("x", pa.binary())])
     keys = [*group, "part"]
-    held = parts.groupBy(*keys).cogroup(renewed(pivots).groupBy(*keys)).applyInArrow(assign, f"label {kind}, dim int, cell long, owned boolean, node long, n long, x binary")
+    held = parts.groupBy(*keys).cogroup(renewed(pivots).groupBy(*keys)).applyInArrow(assign, "label string, dim int, cell long, owned boolean, node long, n long, x binary")
     cell = [*group, "cell"]
     held = checkpointed(held)
     blocks = held.groupBy(*cell).agg(F.ceil(F.sum(F.col("owned").cast("int")) / BLOCK).cast("int").alias("bo"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("bm")).where("bo > 0")

@@ -512,9 +512,9 @@ def test_substrings_across_parts_and_odd_rows(spark, monkeypatch):
 # ---------------------------------------------------------------- 1 vectors
 
 
-@pytest.mark.parametrize(("cell", "block"), [(4096, 2048), (20, 16)])
-def test_vectors_by_brute_force(spark, monkeypatch, cell, block):
-    monkeypatch.setattr(metric_join, "CELL", cell)
+@pytest.mark.parametrize("root, block", [(32, 2048), (1, 2048), (2, 16), (0.5, 7)])
+def test_vectors_by_brute_force(spark, monkeypatch, root, block):
+    monkeypatch.setattr(metric_join, "ROOT", root)
     monkeypatch.setattr(metric_join, "BLOCK", block)
     rng = np.random.default_rng(3)
     centers = rng.standard_normal((12, 8))
@@ -543,6 +543,14 @@ def test_vectors_with_odd_ids(spark):
     assert metric_join.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("values, kind", [(("1.50", "2.50"), "decimal(10,2)"), (("2020-01-01", "2020-01-02"), "date"), (("a", "b"), "binary"), (("0.0", "1.0"), "double"), (("true", "false"), "boolean")])
+def test_vectors_with_labels_of_any_type(spark, values, kind):
+    rows = [(i, [1.0, i / 100], values[i % 2]) for i in range(40)] + [(90, [1.0, 0.0], None), (91, [1.0, 0.0], "-0.0" if kind == "double" else values[0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").withColumn("label", F.col("label").cast(kind))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in metric_join.near_vectors(df).collect()}
+    assert got == {i: (20 if i % 2 == 0 else 19, i % 2) for i in range(40)} | {90: (0, 90), 91: (20, 0)}
+
+
 # ---------------------------------------------------------------- 8 toxicity
 
 
