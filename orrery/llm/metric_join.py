@@ -33,11 +33,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._components import column, connected_components, matrix
-from ._shared import checkpointed
+from ._shared import checkpointed, discarded, stored
 
 COSINE = 0.93
 #: Labels of fewer vectors have no pivots; the others one and one for each ROOT in the square root of their vectors.  Vectors in a block.
-LEAST, ROOT, BLOCK = 32, 32, 2048
+LEAST, ROOT, BLOCK = 32, 128, 2048
 #: Allowance for rounding in distances; it only replicates more.
 SLACK = 1e-6
 
@@ -153,7 +153,7 @@ def links_within(nodes: DataFrame, cosine: float) -> DataFrame:
     keys = [*group, "part"]
     held = parts.groupBy(*keys).cogroup(renewed(pivots).groupBy(*keys)).applyInArrow(assign, "label string, dim int, cell long, owned boolean, node long, n long, x binary")
     cell = [*group, "cell"]
-    held = checkpointed(held)
+    held = stored(held)
     blocks = held.groupBy(*cell).agg(F.ceil(F.sum(F.col("owned").cast("int")) / BLOCK).cast("int").alias("bo"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("bm")).where("bo > 0")
     dealt = held.join(blocks, cell)
     own = dealt.where("owned").withColumns({"i": F.pmod(F.xxhash64("node", F.lit("own")), F.col("bo")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("bm") - 1))})
@@ -181,4 +181,6 @@ def links_within(nodes: DataFrame, cosine: float) -> DataFrame:
         return pa.Table.from_arrays([nodes_, nears, pa.array(links[some].astype(np.int64).tolist() + [None] * len(u), pa.int64())], schema=found)
 
     tasks = [*cell, "i", "j"]
-    return checkpointed(own.select(*tasks, "node", "x").groupBy(*tasks).cogroup(renewed(all_.select(*tasks, "node", "n", "x")).groupBy(*tasks)).applyInArrow(join, "node long, near long, links long"))
+    links = checkpointed(own.select(*tasks, "node", "x").groupBy(*tasks).cogroup(renewed(all_.select(*tasks, "node", "n", "x")).groupBy(*tasks)).applyInArrow(join, "node long, near long, links long"))
+    discarded(held)
+    return links
