@@ -353,6 +353,61 @@ def test_edit_distance():
     assert fuzzy_lines.all_similar(0.8, *zip(*pairs)).tolist() == want and 0 < sum(want) < len(want)
 
 
+def test_lower_bound_rules_out_no_similar_pair():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("etaoinsé日l") for _ in range(rng.randrange(2, 9)))
+    many = "".join(map(chr, range(0x4E00, 0x4E00 + 400)))  # more letters than are told apart
+    a, b = [], []
+    for k in range(400):
+        x = " ".join(word() for _ in range(rng.randrange(1, 90))) if k % 8 else "".join(rng.choice(many) for _ in range(rng.randrange(1, 200)))
+        share = rng.choice([0.05, 0.15, 0.19, 0.21, 0.3])
+        near = "".join(c if rng.random() > share else rng.choice(["", "q", c + "q"]) for c in x)
+        a.append(x)
+        b.append(rng.choice([near, near, "q" * int(len(x) * share) + x, x[int(len(x) * share) :], "".join(rng.sample(x, len(x)))]))
+    a, b = [*a, "", "x", ""], [*b, "", "", "x"]
+    out = fuzzy_lines.ruled_out(0.8, a, b)
+    near = np.array([fuzzy_lines.similar(x, y, 0.8) for x, y in zip(a, b)])
+    # pairs just beyond the limit may stay open
+    assert not (out & near).any() and out.sum() > 0.6 * (~near).sum() and near.sum() > 100
+    assert fuzzy_lines.all_similar(0.8, a, b).tolist() == near.tolist()
+
+
+def test_members_meet_packed_and_bodies_are_sifted(spark):
+    """A row holds many keys, buckets meet whole, and a member with nothing to test gets no body."""
+    kind = np.dtype([("bucket", "<i8"), ("cid", "<i8")])
+    nodes = spark.range(3000).selectExpr("id as cid").repartition(3)
+    passed = spark.sparkContext.accumulator(0)
+
+    def records(batches):
+        for batch in batches:
+            cid = np.repeat(batch.column(0).to_numpy(), 2)
+            out = np.empty(len(cid), kind)
+            out["cid"], out["bucket"] = cid, np.where(np.arange(len(cid)) % 2, cid // 3, 7_000_000 + cid % 2)
+            yield out
+
+    def solve(batch, group):
+        passed.add(batch.num_rows)
+        return batch.append_column("size", _components.pa.array(np.bincount(group)[group]))
+
+    hints = np.array([7_000_000, 7_000_001]), np.array([4, 4], np.int32)
+    met = _components.meeting(nodes, records, kind, hints, solve, "bucket long, cid long, salt int, blocks int, size long").collect()
+    assert len(met) == 6000 and passed.value == 6000
+    sizes = Counter((r["bucket"], r["salt"]) for r in met)
+    assert all(r["size"] == sizes[r["bucket"], r["salt"]] for r in met) and len(sizes) == 1000 + 8 and {r["blocks"] for r in met} == {1, 4}
+
+    wanted = spark.createDataFrame([(-5,), (3,), (2**62,)], "cid long")
+    rows = spark.range(-2000, 200_000).selectExpr("id as cid", "cast(id as string) as body").union(spark.createDataFrame([(2**62, "far")], "cid long, body string"))
+    assert sorted(map(tuple, _components.among(rows, wanted).collect())) == [(-5, "-5"), (3, "3"), (2**62, "far")]
+    assert _components.among(rows, wanted.limit(0)).count() == 0
+
+    # 1, 2 and 5 seem near; 1 and 2 are of one component, 3 is alone; the pair 1-5 is tested in bucket 10, which both share first
+    rows = [(10, 1, 1, [10, 11], b"a"), (10, 5, 5, [10, 11], b"a"), (10, 3, 3, [10, 11], b"z"), (11, 1, 1, [10, 11], b"a"), (11, 5, 5, [10, 11], b"a"), (12, 1, 1, [12], b"a"), (12, 2, 1, [12], b"a")]
+    names = ["bucket", "cid", "component", "buckets", "sig", "i", "j", "own"]
+    batch = _components.pa.RecordBatch.from_pylist([dict(zip(names, [*r, 0, 0, 0])) for r in rows])
+    got = [x.to_pylist() for x in _components.in_groups(("bucket", "i", "j"), _components.open_members(lambda x, y: (x == y).all(axis=1) * 1.0, 0.5))(iter([batch]))]
+    assert [(r["bucket"], r["cid"]) for part in got for r in part] == [(10, 1), (10, 5)]
+
+
 def test_lines_by_brute_force(spark):
     rng = random.Random(9)
     vocabulary = [f"word{i}" for i in range(300)]
