@@ -21,6 +21,7 @@ import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,9 @@ from ._shared import checkpointed, chunks, strings
 ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 RARE = regex.compile(r"[^\u0000-įı-ɏ‐-‧€]")
 MARKS = ".,;:!?)]\""
-MEMORY = 1_000_000
+MEMORY = 500_000
+#: New words that the library gets as one text, the mark between them, and texts at once, as their encodings are large.
+TOGETHER, MARK, TEXTS = 64, "|", 64
 
 
 def plain(text: str) -> bool:
@@ -62,6 +65,27 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        mark = self.library.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def each(self, words: list[str]) -> None:
+        for w, got in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)):
+            self.known[w] = np.asarray(got.ids, "<u4").tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes words some at a time, with a mark between them that they don't hold: a call for each costs more than its tokens."""
+        some = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        for k in range(0, len(some), TEXTS):
+            texts = [f" {MARK} ".join(x) for x in some[k : k + TEXTS]]
+            for own, got in zip(some[k : k + TEXTS], self.library.encode_batch_fast(texts, add_special_tokens=False)):
+                self.split(own, np.asarray(got.ids, "<u4"))
+
+    def split(self, own: list[str], ids: np.ndarray) -> None:
+        marks, data = (4 * np.flatnonzero(ids == self.mark)).tolist(), ids.tobytes()
+        if len(marks) != len(own) - 1:  # a word gives the mark's id too
+            self.each(own)
+        else:
+            self.known.update(zip(own, [data[a:b] for a, b in zip([0, *(m + 4 for m in marks)], [*marks, len(data)])]))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
@@ -70,14 +94,17 @@ class WordIds:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         simple = [plain(t) for t in texts]
         lists = [t.lower().split() if ok else [] for t, ok in zip(texts, simple)]
-        new = {w for words in lists for w in words}.difference(self.known)
+        new = set().union(*lists).difference(self.known)
         if len(self.known) + 2 * len(new) > MEMORY:
-            self.known.clear()
-            new = {w for words in lists for w in words}
+            # words met first are the most frequent: they stay
+            self.known = dict(islice(self.known.items(), MEMORY // 2))
+            new = set().union(*lists).difference(self.known)
         parts = {w: parted(w) for w in new}
         todo = [*{p for own in parts.values() for p in own}.difference(self.known)]
-        for w, got in zip(todo, self.library.encode_batch_fast(todo, add_special_tokens=False)):
-            self.known[w] = np.asarray(got.ids, "<u4").tobytes()
+        alone = [w for w in todo if self.mark is None or MARK in w]
+        self.each(alone)
+        if self.mark is not None:
+            self.learn([w for w in todo if MARK not in w])
         for w, own in parts.items():
             if len(own) > 1:
                 self.known[w] = b"".join([self.known[p] for p in own])

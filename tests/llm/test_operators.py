@@ -179,6 +179,31 @@ def test_word_ids_equal_the_librarys():
         assert w.encode(x) == np.asarray(w.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x
 
 
+def test_new_words_go_to_the_library_together(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY", 2000)
+    w = packing.WordIds(P.path("word_bpe_49k.json"))
+    library, given = w.library, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            given.append(len(texts))
+            return library.encode_batch_fast(texts, **kw)
+
+        encode = library.encode
+
+    w.library = Counted()
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    texts = [" ".join(words), "a|b | || |c c| \x00 \x00| ß|ß", "|", "", "\xa0 \xad é\x01 x"]
+    assert w.encode_all(texts) == [np.asarray(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert sum(given) < 40
+    for k in range(50):  # the words met first stay, and no more are kept than a batch adds to the limit
+        w.encode_all([f"{' '.join(words[:20])} {' '.join(f'x{k}y{i}' for i in range(100))}"])
+        assert len(w.known) <= 2000 and words[0] in w.known
+    w.mark = None
+    w.known.clear()
+    assert w.encode_all(texts[:1]) == [np.asarray(library.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()] and sum(given) > 600
+
+
 # ---------------------------------------------------------------- 5 packages
 
 
