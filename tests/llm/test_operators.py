@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import time
 import zipfile
 import zlib
 from collections import Counter
@@ -397,6 +398,25 @@ def test_lower_bound_rules_out_no_similar_pair():
     assert fuzzy_lines.all_similar(0.8, a, b).tolist() == near.tolist()
 
 
+def test_few_long_lines_are_bounded_one_by_one():
+    """Each of another length; in step with no other, each column of their tables cost as much as one of hundreds of pairs."""
+    rng = random.Random(17)
+    line = lambda n: "".join(rng.choices("abcdefgh ijkl", k=n))
+    a = [line(n) for n in range(16_000, 40_000, 2_000)]
+    b = [x[:100] + x[140:] if k % 2 else line(len(x)) for k, x in enumerate(a)]
+    began = time.process_time()
+    out = fuzzy_lines.ruled_out(0.8, a, b)
+    took = time.process_time() - began
+    assert out.tolist() == [k % 2 == 0 for k in range(len(a))]
+    assert took < 2
+    short = [(line(rng.randrange(1, 90)), line(rng.randrange(1, 90))) for _ in range(400)]
+    short += [(x, x[: rng.randrange(len(x) + 1)] + y[:9]) for x, y in short]
+    x, y = map(list, zip(*short))
+    together = fuzzy_lines.ruled_out(0.8, x, y)
+    assert together.tolist() == [bool(fuzzy_lines.ruled_out(0.8, [p], [q])[0]) for p, q in short]
+    assert 0 < together.sum() < len(together)
+
+
 def test_members_meet_packed_and_bodies_are_sifted(spark):
     """A row holds many keys, buckets meet whole, and a member with nothing to test gets no body."""
     kind = np.dtype([("bucket", "<i8"), ("cid", "<i8")])
