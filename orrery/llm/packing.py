@@ -18,13 +18,15 @@ rows; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -35,7 +37,7 @@ from ._shared import checkpointed, chunks, strings
 #: Texts with these go to the library whole: special strings, white space on which tables disagree, and characters whose handling depends on Unicode versions.
 ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 RARE = regex.compile(r"[^\u0000-įı-ɏ‐-‧€]")
-MARKS = ".,;:!?)]\""
+MARKS = string.punctuation.replace("'", "")
 MEMORY = 500_000
 #: New words that the library gets as one text, the mark between them, and texts at once, as their encodings are large.
 TOGETHER, MARK, TEXTS = 64, "|", 64
@@ -92,30 +94,53 @@ class WordIds:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Words of all texts, and the parts of these, are told apart by Arrow, so that each is looked up once for all of them."""
         simple = [plain(t) for t in texts]
         lists = [t.lower().split() if ok else [] for t, ok in zip(texts, simple)]
-        new = set().union(*lists).difference(self.known)
-        if len(self.known) + 2 * len(new) > MEMORY:
+        words = pa.array([*chain.from_iterable(lists)], pa.string()).dictionary_encode()
+        kinds, cut, tails = parted(words.dictionary)
+        parts = pa.concat_arrays([kinds, tails]).dictionary_encode()
+        found, part = self.ids_of(parts.dictionary.to_numpy(zero_copy_only=False).tolist()) + [b""], parts.indices.to_numpy()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        both = np.full((len(kinds), 2), len(found) - 1)
+        both[:, 0], both[cut, 1] = part[: len(kinds)], part[len(kinds) :]
+        ids, _ = gathered(np.frombuffer(b"".join(found), "<u4"), sizes, both.ravel())
+        ids, ends = gathered(ids, sizes[both].sum(axis=1), words.indices.to_numpy())
+        cuts = ends[np.cumsum([0, *map(len, lists)])].tolist()
+        return [ids[a:b].tobytes() if ok else np.asarray(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, ok, a, b in zip(texts, simple, cuts, cuts[1:])]
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of different words, each of which is remembered."""
+        out = [*map(self.known.get, words)]
+        new = [k for k, got in enumerate(out) if got is None]
+        if len(self.known) + len(new) > MEMORY:
             # words met first are the most frequent: they stay
-            self.known = dict(islice(self.known.items(), MEMORY // 2))
-            new = set().union(*lists).difference(self.known)
-        parts = {w: parted(w) for w in new}
-        todo = [*{p for own in parts.values() for p in own}.difference(self.known)]
-        alone = [w for w in todo if self.mark is None or MARK in w]
-        self.each(alone)
+            self.known = dict(islice(self.known.items(), MEMORY * 3 // 4))
+        todo = [words[k] for k in new]
+        self.each([w for w in todo if self.mark is None or MARK in w])
         if self.mark is not None:
             self.learn([w for w in todo if MARK not in w])
-        for w, own in parts.items():
-            if len(own) > 1:
-                self.known[w] = b"".join([self.known[p] for p in own])
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) if ok else np.asarray(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, ok, words in zip(texts, simple, lists)]
-
-
-def parted(word: str) -> tuple[str, ...]:
-    """A word and the marks at its end, between which the library always splits."""
-    core = word.rstrip(MARKS)
-    return (core, word[len(core) :]) if core != word and core and core[-1].isalnum() else (word,)
+        for k, w in zip(new, todo):
+            out[k] = self.known[w]
+        return out
+
+
+def parted(words: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """Words without the marks at their end, between which the library always splits; places of those that have such, and their marks."""
+    core = pc.utf8_rtrim(words, characters=MARKS)
+    ok = pc.and_(pc.not_equal(core, words), pc.utf8_is_alnum(pc.utf8_slice_codeunits(core, -1)))
+    cut = np.flatnonzero(ok.to_numpy(zero_copy_only=False))
+    sizes = pc.utf8_length(core).to_numpy()[cut]
+    tails = [w[n:] for w, n in zip(words.take(pa.array(cut)).to_numpy(zero_copy_only=False), sizes.tolist())]
+    return pc.if_else(ok, core, words), cut, pa.array(tails, pa.string())
+
+
+def gathered(values: np.ndarray, sizes: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values``, of the given sizes, in the order of ``pick``; and where each begins, with the end of the last."""
+    own = sizes[pick]
+    ends = np.cumsum(own)
+    shift = (np.cumsum(sizes) - sizes)[pick] - ends + own
+    return values[np.repeat(shift, own) + np.arange(own.sum())], np.append(0, ends)
 
 
 @lru_cache(maxsize=2)

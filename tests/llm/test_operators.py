@@ -205,6 +205,18 @@ def test_new_words_go_to_the_library_together(monkeypatch):
     assert w.encode_all(texts[:1]) == [np.asarray(library.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()] and sum(given) > 600
 
 
+def test_words_with_marks_are_remembered_by_their_parts():
+    w, rng = packing.WordIds(P.path("word_bpe_49k.json")), random.Random(5)
+    marks = [".", ",", "***", "%%%", "$", '."', "|", "<", "`~", "_"]
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)] + ["é2", "x½", "it's", "''", "", "ª"]
+    texts = [" ".join(a + b for a in words for b in marks), "", "<| a", "***", "'s. 's's!"]
+    texts += ["".join(rng.choice(["a", "é", "1", "²", "'s", " ", "\xa0", *marks]) for _ in range(30)) for _ in range(300)]
+    assert w.encode_all(texts[:1])[0] == np.asarray(w.library.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(w.known) < 200  # not a thousand words
+    assert w.encode_all(texts) == [np.asarray(w.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert w.encode_all([]) == [] and w.encode_all(["<|"]) == w.encode_all(["<|", ""])[:1]
+
+
 # ---------------------------------------------------------------- 5 packages
 
 
