@@ -26,9 +26,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +39,14 @@ from ._components import column
 from ._shared import chunks, strings
 
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
+#: White space for str.split that doesn't end a word here.
+SPACES = regex.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 WINDOW, STRIDE = 48, 24
 HIDDEN, EMBEDDING, ATTENTION = 12, 12, 12
 TRIGRAMS, VOCABULARY, LEAST_COUNT = 4096, 8192, 3
 MEMORY = 150_000
+#: Windows that are scored together, so that arrays stay in the cache.
+BLOCK = 1024
 #: Documents of the prior that smooth a word's log odds, shares of word and character inputs dropped in training, decay of embeddings.
 SMOOTH, WORD_DROP, CHAR_DROP, DECAY = 4, 0.1, 0.5, 0.02
 
@@ -49,8 +55,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def raw_words(text: str) -> list[str]:
+    text = text.lower()
+    return WORD.findall(text) if SPACES.search(text) else text.split()
+
+
+def bare(word: str) -> str:
+    return word.strip(".,;:!?\"'()[]{}") or word
+
+
 def words_of(text: str) -> list[str]:
-    return [w.strip(".,;:!?\"'()[]{}") or w for w in WORD.findall(text.lower())]
+    return [*map(bare, raw_words(text))]
 
 
 def trigrams(word: str) -> list[int]:
@@ -58,6 +73,30 @@ def trigrams(word: str) -> list[int]:
     return [zlib.crc32(w[i : i + 3]) % TRIGRAMS for i in range(max(1, len(w) - 2))]
 
 
+def crc_table() -> np.ndarray:
+    x = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        x = np.where(x & 1, x >> np.uint32(1) ^ np.uint32(0xEDB88320), x >> np.uint32(1))
+    return x
+
+
+CRC = crc_table()
+
+
+def all_trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``trigrams`` of many words, all in one array, and how many each word has."""
+    if "" in words:  # the only word that gives less than three bytes
+        parts = [*map(trigrams, words)]
+        return np.fromiter((g for p in parts for g in p), np.int64), np.fromiter(map(len, parts), np.int64, len(parts))
+    sizes = pc.binary_length(pa.array(words, pa.string())).to_numpy().astype(np.int64)
+    data = np.frombuffer(f"<{'><'.join(words)}>".encode(), np.uint8)
+    at = np.arange(sizes.sum()) + np.repeat(2 * np.arange(len(words)), sizes)
+    crc = np.full(len(at), 0xFFFFFFFF, np.uint32)
+    for k in range(3):
+        crc = CRC[(crc ^ data[at + k]) & np.uint32(255)] ^ crc >> np.uint32(8)
+    return (~crc % np.uint32(TRIGRAMS)).astype(np.int64), sizes
+
+
 def window_places(n: int) -> list[int]:
     """Starts of the windows that cover n words; the last may be short."""
     return [0] if n <= WINDOW else [*range(0, n - WINDOW + STRIDE, STRIDE)]
@@ -74,9 +113,7 @@ class Words:
 
     @staticmethod
     def of(words: list[str], vocabulary: dict[str, int]) -> Words:
-        parts = [*map(trigrams, words)]
-        sizes = np.asarray([*map(len, parts)], np.int64)
-        return Words(np.asarray([vocabulary.get(w, 0) for w in words], np.int64), np.fromiter((g for p in parts for g in p), np.int64, int(sizes.sum())), sizes)
+        return Words(np.asarray([vocabulary.get(w, 0) for w in words], np.int64), *all_trigrams(words))
 
     def some(self, which: np.ndarray) -> Words:
         sizes = self.sizes[which]
@@ -90,7 +127,7 @@ class Network:
     weights: dict[str, np.ndarray]
     prior: float | None = None  # set if there was nothing to learn from
     known: dict[str, int] = field(default_factory=dict)
-    table: np.ndarray | None = None
+    table: np.ndarray | None = None  # what either direction takes from known words, [direction, word, unit]
 
     @staticmethod
     def fresh(vocabulary: dict[str, int], seed: int) -> Network:
@@ -122,7 +159,7 @@ class Network:
 
     # ------------------------------------------------------------ forward
 
-    def states(self, p: np.ndarray, at: np.ndarray, mask: np.ndarray, direction: str, keep: list | None = None) -> np.ndarray:
+    def states(self, p: np.ndarray, at: np.ndarray, mask: np.ndarray, direction: str, keep: list) -> np.ndarray:
         """Hidden states of one direction, [step, window, unit]."""
         h3 = 3 * HIDDEN
         own = p[:, :h3] if direction == "f" else p[:, h3:]
@@ -137,8 +174,7 @@ class Network:
             m = mask[:, k, None]
             before, h = h, h + m * (1 - z) * (new - h)
             out[k] = h
-            if keep is not None:
-                keep.append((k, before, z, g, new, r[:, 2 * HIDDEN :], m))
+            keep.append((k, before, z, g, new, r[:, 2 * HIDDEN :], m))
         return out
 
     def pooled(self, states: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -151,8 +187,40 @@ class Network:
         return hidden, share, context, context @ w["out_w"] + w["out_b"][0]
 
     def logits(self, p: np.ndarray, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        states = np.concatenate([self.states(p, at, mask, d) for d in "fb"], axis=2)
-        return self.pooled(states, mask)[-1]
+        """What ``states`` and ``pooled`` give, without what training keeps: [unit, window], as numpy is slow at rows of few units.
+
+        ``p`` is as from ``projected``, or one such array for each direction, [direction, word, unit].
+        """
+        w, (n, t), two = self.weights, at.shape, 2 * HIDDEN
+        both = p if p.ndim == 3 else np.stack(np.split(p, 2, axis=1))
+        at, mask = np.ascontiguousarray(at.T), np.ascontiguousarray(mask.T)
+        states = np.empty((t, two, n), np.float32)
+        x, r, gates, rest = np.empty((n, 3 * HIDDEN), both.dtype), *(np.empty((k, n), np.float32) for k in (3 * HIDDEN, two, HIDDEN))
+        for d, own in zip("fb", both):
+            u, h = np.ascontiguousarray(w[f"{d}_h"].T), np.zeros((HIDDEN, n), np.float32)
+            z, g, new, units = gates[:HIDDEN], gates[HIDDEN:], r[two:], slice(0, HIDDEN) if d == "f" else slice(HIDDEN, two)
+            for k in range(t) if d == "f" else range(t - 1, -1, -1):
+                np.take(own, at[k], axis=0, out=x, mode="clip")
+                np.matmul(u, h, out=r)
+                gates[:], rest[:] = x.T[:two], x.T[two:]
+                gates += r[:two]
+                gates *= 0.5
+                np.tanh(gates, out=gates)
+                gates *= 0.5
+                gates += 0.5
+                new *= g
+                new += rest
+                np.tanh(new, out=new)
+                new -= h
+                np.subtract(1, z, out=z)
+                z *= mask[k]
+                new *= z
+                states[k, units] = h = h + new
+        hidden = np.tanh(w["att_w"].T @ states + w["att_b"][:, None])
+        e = np.where(mask > 0, w["att_v"] @ hidden, -1e9)
+        e = np.exp(e - e.max(axis=0)) * mask
+        share = e / np.maximum(e.sum(axis=0), 1e-9)
+        return w["out_w"] @ (share[:, None] * states).sum(axis=0) + w["out_b"][0]
 
     # ------------------------------------------------------------ backward
 
@@ -199,25 +267,35 @@ class Network:
     # ------------------------------------------------------------ scoring
 
     def numbered(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Rows of the table of known words, which grows by the new ones."""
-        new = [*{w for t in texts for w in t if w not in self.known}]
-        if self.table is None or len(self.known) + len(new) > len(self.table) - 1:
-            self.known.clear()
-            new = [*{w for t in texts for w in t}]
-            if self.table is None or len(new) > len(self.table) - 1:  # a very long text may have more words than are remembered
-                self.table = np.zeros((max(MEMORY, len(new)) + 1, 6 * HIDDEN), np.float32)
+        """Rows of the table of known words, which grows by the new ones, for texts as from ``raw_words``."""
+        words = pa.array([*chain.from_iterable(texts)], pa.string()).dictionary_encode()
+        # words are told apart by Arrow, so that each is looked up once for all texts
+        kinds = [*map(bare, words.dictionary.to_numpy(zero_copy_only=False).tolist())]
+        out = [*map(self.known.get, kinds)]
+        new = [*{w for w, got in zip(kinds, out) if got is None}]
+        if self.table is None or len(self.known) + len(new) > self.table.shape[1] - 1:
+            # words met first are the most frequent: they stay, in their rows
+            self.known = dict(islice(self.known.items(), MEMORY // 2))
+            new = [*set(kinds).difference(self.known)]
+            if self.table is None or len(self.known) + len(new) > self.table.shape[1] - 1:  # a very long text may have more words than are remembered
+                table = np.zeros((2, max(MEMORY, len(self.known) + len(new)) + 1, 3 * HIDDEN), np.float32)
+                if self.table is not None:
+                    table[:, : len(self.known)] = self.table[:, : len(self.known)]
+                self.table = table
         if new:
             at = len(self.known)
             self.known.update(zip(new, range(at, at + len(new))))
-            self.table[at : at + len(new)] = self.projected(self.inputs(Words.of(new, self.vocabulary)))[:-1]
-        return [np.fromiter(map(self.known.__getitem__, t), np.int64, len(t)) for t in texts]
+            both = self.projected(self.inputs(Words.of(new, self.vocabulary)))[:-1]
+            self.table[:, at : at + len(new)] = both.reshape(len(new), 2, -1).transpose(1, 0, 2)
+        rows = np.fromiter(map(self.known.__getitem__, kinds), np.int64, len(kinds))[words.indices.to_numpy()]
+        return np.split(rows, np.cumsum([*map(len, texts)])[:-1])
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.prior is not None:
             return np.full(len(texts), self.prior)
-        ids = self.numbered([words_of(t) for t in texts])
-        at, mask, owner = windows(ids, len(self.table) - 1)
-        z = np.concatenate([self.logits(self.table, at[i : i + 4096], mask[i : i + 4096]) for i in range(0, len(at), 4096)])
+        ids = self.numbered([raw_words(t) for t in texts])
+        at, mask, owner = windows(ids, self.table.shape[1] - 1)
+        z = np.concatenate([self.logits(self.table, at[i : i + BLOCK], mask[i : i + BLOCK]) for i in range(0, len(at), BLOCK)])
         worst = np.full(len(texts), -np.inf)
         np.maximum.at(worst, owner, z)
         return sigmoid(worst)

@@ -789,3 +789,27 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: roots[x] for x in nodes}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_word_inputs_are_kept_from_the_first_words_on(monkeypatch):
+    rng = random.Random(4)
+    often = [f"w{i}é" for i in range(20)]
+    texts = [" ".join(often), "", *(" ".join(rng.choice([*often, f"n{rng.randrange(10**6)}", "\x1c", "a\xa0b", "(", "日本!"]) for _ in range(120)) for _ in range(40))]
+    net = toxicity.Network.fresh({w: i + 1 for i, w in enumerate(often)}, 3)
+    monkeypatch.setattr(toxicity, "MEMORY", 150)
+    got = np.concatenate([net.scores([t]) for t in texts])
+    more = [" ".join(f"{c}{i}" for i in range(60)) for c in "xyz"]
+    texts, got = texts + more, np.append(got, [net.scores([t])[0] for t in more])
+    assert set(toxicity.words_of(texts[0])) <= set(net.known) and len(net.known) <= 150 < len({w for t in texts for w in toxicity.words_of(t)})
+    plain = toxicity.Network(net.vocabulary, net.weights)
+    for t, s in zip(texts, got):  # each word by its own trigrams, each window by the forward pass of training
+        words = toxicity.words_of(t)
+        assert words == [w.strip(".,;:!?\"'()[]{}") or w for w in toxicity.WORD.findall(t.lower())]
+        x = toxicity.Words.of(words, net.vocabulary)
+        assert x.grams.tolist() == [g for w in words for g in toxicity.trigrams(w)]
+        at, mask, _ = toxicity.windows([np.arange(len(words))], len(words))
+        p = plain.projected(plain.inputs(x))
+        states = np.concatenate([plain.states(p, at, mask, d, []) for d in "fb"], axis=2)
+        assert abs(toxicity.sigmoid(plain.pooled(states, mask)[-1].max()) - s) < 1e-5
+    assert abs(net.scores([" ".join(f"q{i}" for i in range(1000)), texts[0]])[1] - got[0]) < 1e-5  # more words than are remembered
+    assert abs(net.scores(texts[:1])[0] - got[0]) < 1e-5
