@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -584,6 +585,42 @@ def test_lines_of_odd_rows(spark):
     assert fuzzy_lines.without_repeated_lines(docs(spark, [])).count() == 0
 
 
+def test_lines_that_only_seem_near_are_tested_together():
+    """As nearly all pairs have to be tested there, a few large calls do it; the one link among them is found."""
+    n, calls = 200, []
+    bodies = [f"line {k}" for k in range(n)]
+
+    def check(a, b):
+        calls.append(len(a))
+        return np.array([{x, y} == {"line 7", "line 190"} for x, y in zip(a, b)])
+
+    columns = {"bucket": [5] * n, "i": [0] * n, "j": [0] * n, "own": [0] * n, "cid": range(n), "component": range(n), "buckets": [[5]] * n, "sig": [b"s"] * n, "body": bodies}
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=[*columns])
+    out = _components.links_of(lambda one, many: np.ones(len(one)), 0.5, check)(batch, np.zeros(n, np.int64))
+    assert out.to_pylist() == [{"a": 7, "b": 190}]
+    assert sum(calls) > 19_000 and len(calls) <= 6
+
+
+def test_a_line_met_everywhere_is_one_record_a_pack(spark):
+    """What is shuffled to find the classes doesn't grow with the copies; all occurrences are kept beside it."""
+    df = fuzzy_lines.tagged(docs(spark, [(k, f"the same few words\nonly here {k} \u00e4 \U0001f600") for k in range(300)]).coalesce(1), "doc_id", "text")
+    whole = fuzzy_lines.line_occurrences(df, 3)
+    rows = whole.collect()
+    firsts = np.concatenate([np.frombuffer(r["firsts"], fuzzy_lines.FIRST) for r in rows])
+    names = [x for r in rows for x in bytes(r["norms"]).decode().split("\n")]
+    assert dict(zip(names, firsts["n"].tolist())) == {"the same few words": 300} | {" ".join(fuzzy_lines.normalised(f"only here {k} \u00e4 \U0001f600")): n for k, n in ((1, 10), (10, 90), (100, 200))}
+    assert len(firsts) == 4 and sum(len(r["occurrences"]) for r in rows) == 600 * fuzzy_lines.OCCURRENCE.itemsize
+    got = {r["norm"]: (r["n"], r["first"]["doc_id"], r["first"]["line"]) for r in fuzzy_lines.line_classes(whole.union(whole)).collect()}
+    assert got["the same few words"] == (600, 0, 0) and sorted(x[1:] for x in got.values()) == [(0, 0), (0, 1), (10, 1), (100, 1)]
+
+
+def test_more_links_join_components_and_new_nodes(spark):
+    comps = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node long, component long")
+    more = spark.createDataFrame([(2, 6), (0, 9), (20, 21), (21, 3)], "a long, b long")
+    got = {r["node"]: r["component"] for r in _components.joined_components(comps, more).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 0: 0, 8: 0, 9: 0, 20: 3, 21: 3, 3: 3}
+
+
 # ---------------------------------------------------------------- 10 substrings
 
 
